@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 DIM = 4096
 #: The classifiers are fitted on at most this many labelled rows, shared evenly by the languages.
 MAX_TRAIN_ROWS = 1600
+#: Up to this many languages, their row counts are sent to all executors; beyond it the join shuffles.
+MAX_LANGS_SENT = 10_000
 #: Decodings whose two best languages are closer than this in probability are flagged.
 MIN_LEAD = 0.1
 
@@ -92,6 +94,8 @@ def training_rows(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     n_langs = max(1, counts.count())
     each = max(1, max_rows // n_langs)
     share = counts.select("lang", (F.lit(1.5 * each + 20) / F.col("n")).alias("share"))
+    if n_langs <= MAX_LANGS_SENT:
+        share = F.broadcast(share)
     order = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 12), 16, 10).cast("double") / 2.0**48
     near = (
         known.where(F.col("text").rlike(r"\p{L}"))

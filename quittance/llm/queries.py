@@ -1,10 +1,17 @@
 """The queries of this folder and the SQL that they are held against."""
 
+from quittance.llm.decontam import OP1_SQL, op1_benchmark_decontamination
 from quittance.llm.language import op9_language_id
+from quittance.llm.mixing import OP2_SQL, op2_source_mixing
 from quittance.llm.simhash import op6_simhash_near_dedup
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_source_mixing": op2_source_mixing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_language_id": op9_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_benchmark_decontamination": OP1_SQL,
+    "op2_source_mixing": OP2_SQL,
+}
