@@ -3,6 +3,7 @@
 from quittance.llm.decontam import OP1_SQL, op1_benchmark_decontamination
 from quittance.llm.language import op9_language_id
 from quittance.llm.mixing import OP2_SQL, op2_source_mixing
+from quittance.llm.sharding import op4_sharding
 from quittance.llm.simhash import op6_simhash_near_dedup
 from quittance.llm.tokenio import op3_token_output
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_source_mixing": op2_source_mixing,
     "op3_token_output": op3_token_output,
+    "op4_sharding": op4_sharding,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_language_id": op9_language_id,
 }
