@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words between ASCII white space.
-SPACED_WORD = r"[^\x20\x09-\x0D]+"
+#: ASCII white space, which parts words.
+SPACE = r"[\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
 
@@ -46,7 +46,7 @@ def ascii_lower(c: Column) -> Column:
 
 
 def spaced_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SPACED_WORD), F.lit(0))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:

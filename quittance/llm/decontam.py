@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from quittance.llm.common import ascii_lower, stored
 
-#: Letters, digits and everything beyond ASCII; upper case counts too, as words are lower-cased one by one.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words are letters, digits and everything beyond ASCII; this is what lies between them. Upper case counts as
+#: letters, as words are lower-cased one by one.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Lists that are intersected before the exact comparison.
 DEPTH = 3
@@ -29,7 +30,7 @@ BROADCAST_ROWS = 200_000
 
 
 def raw_words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
 
 
 def doc_key(doc_id: Column, text: Column) -> Column:
