@@ -3,8 +3,11 @@
 from quittance.llm.decontam import OP1_SQL, op1_benchmark_decontamination
 from quittance.llm.language import op9_language_id
 from quittance.llm.mixing import OP2_SQL, op2_source_mixing
+from quittance.llm.quality import op10_quality_rules
+from quittance.llm.secrets import op8_secret_scan
 from quittance.llm.sharding import op4_sharding
 from quittance.llm.simhash import op6_simhash_near_dedup
+from quittance.llm.tokencount import op7_token_counts
 from quittance.llm.tokenio import op3_token_output
 
 QUERIES = {
@@ -13,7 +16,10 @@ QUERIES = {
     "op3_token_output": op3_token_output,
     "op4_sharding": op4_sharding,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_token_counts": op7_token_counts,
+    "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": OP1_SQL,
