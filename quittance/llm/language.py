@@ -143,38 +143,41 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS, rounds: int = 80) ->
     return EcocModel(names, code, w, b, np.log((ok + 0.01) / (1.01 - ok)).clip(0.1, 5))
 
 
-def identify(docs: DataFrame, model: EcocModel | None, min_lead: float = MIN_LEAD) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, ambiguous; only text is an input of a prediction."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                lettered = np.array(b.column("lettered").to_pylist(), bool)
-                if model is None:
-                    lettered[:] = False
-                pred, score, lead = np.full(len(lettered), "und", object), np.zeros(len(lettered)), np.zeros(len(lettered))
-                if lettered.any():
-                    best, p, ahead = model.decode(features(b.column("text").filter(pa.array(lettered))))
-                    pred[lettered], score[lettered], lead[lettered] = np.array(model.languages, object)[best], p, ahead
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column("doc_id"),
-                        b.column("held_out"),
-                        pa.array(pred, pa.string()),
-                        pa.array(score, pa.float64()),
-                        pa.array(lead < min_lead),
-                    ],
-                    ["doc_id", "held_out", "lang_pred", "score", "ambiguous"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def prediction(text: Column, model: EcocModel | None, min_lead: float = MIN_LEAD) -> Column:
+    """Struct (lang_pred, score, ambiguous) of each whole text; only text is an input."""
+
+    @F.arrow_udf("lang_pred string, score double, ambiguous boolean")
+    def predict(texts: pa.Array, lettered: pa.Array) -> pa.Array:
+        known = np.array(lettered.to_pylist(), bool)
+        if model is None:
+            known[:] = False
+        pred, score, lead = np.full(len(known), "und", object), np.zeros(len(known)), np.zeros(len(known))
+        for at in range(0, len(known), 256):
+            some = np.flatnonzero(known[at : at + 256]) + at
+            if len(some):
+                best, p, ahead = model.decode(features(texts.take(pa.array(some))))
+                pred[some], score[some], lead[some] = np.array(model.languages, object)[best], p, ahead
+        return pa.StructArray.from_arrays(
+            [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(lead < min_lead)],
+            ["lang_pred", "score", "ambiguous"],
+        )
+
+    return predict(text, F.coalesce(text.rlike(r"\p{L}"), F.lit(False)))
+
+
+def identify(docs: DataFrame, model: EcocModel | None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, ambiguous of every row."""
     return docs.select(
         "doc_id",
         F.coalesce(held_out_mod(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"),
-        F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"),
-        F.col("text"),
-    ).mapInArrow(rows, f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
+        prediction(F.col("text"), model).alias("p"),
+    ).select("doc_id", "held_out", "p.*")
+
+
+def recognised(docs: DataFrame, model: EcocModel | None) -> DataFrame:
+    """The rows of docs whose text has a language: und goes, and so does text for which no language reaches one half."""
+    told = docs.select(F.struct(*docs.columns).alias("doc"), prediction(F.col("text"), model).alias("p"))
+    return told.where((F.col("p.lang_pred") != "und") & ~(F.col("p.ambiguous") & (F.col("p.score") < 0.5))).select("doc.*")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

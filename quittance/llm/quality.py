@@ -19,9 +19,9 @@ from quittance.llm.common import SPACE, spaced_words, stored
 
 MIN_GROUP = 200
 #: Quantiles from whose distance the fences are laid, and how many of these distances beyond them.
-LOW_Q, HIGH_Q, REACH = 0.05, 0.95, 3.0
+LOW_Q, HIGH_Q, REACH = 0.1, 0.9, 3.0
 #: Measures and the least distance of their fences, so that groups of nearly equal documents keep small variations.
-MEASURES = {"symbol_share": 0.05, "dup_share": 0.1, "word_length": 2.0, "repeat_share": 0.1}
+MEASURES = {"symbol_share": 0.25, "dup_share": 0.1, "word_length": 2.0, "repeat_share": 0.1}
 
 
 def measured(docs: DataFrame) -> DataFrame:

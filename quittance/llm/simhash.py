@@ -19,8 +19,9 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from quittance.llm.common import connected_components, stored
 
@@ -50,16 +51,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(bits.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (long) of every row of docs."""
+@F.arrow_udf(LongType())
+def fingerprint_of(texts: pa.Array) -> pa.Array:
+    return pa.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts], pa.int64())
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, fp long")
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Tells rows apart that share a doc_id or have none; equal only for repeated rows."""
+    none = F.lit("null")
+    return F.md5(F.concat_ws("/", F.coalesce(doc_id.cast("string"), none), F.md5(F.coalesce(text, F.lit(""))), text.isNull().cast("string")))
 
 
 def trie_links(values: np.ndarray, budget: int = BUDGET) -> list[tuple[int, int]]:
@@ -141,20 +141,40 @@ def links(distinct_fp: DataFrame) -> DataFrame:
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_group_links, "a long, b long").distinct()
 
 
+def components(rows: DataFrame) -> DataFrame:
+    """(fp, component, least, first) of each distinct fp of rows (doc_id, fp, row): least doc_id and first row of its fp."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    own = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), first.alias("first"))
+    comp = connected_components(links(own.select("fp")), "simhash-links")
+    named = own.join(comp, own.fp == comp.node, "left")
+    return stored(named.select("fp", F.coalesce("component", "fp").alias("component"), "least", "first"), "simhash-components")
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, row of every row of docs, stored."""
+    text = F.col("text")
+    return stored(docs.select("doc_id", fingerprint_of(text).alias("fp"), row_key(F.col("doc_id"), text).alias("row")), "simhash")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id that the links reach."""
-    fps = stored(fingerprints(docs), "simhash")
-    own = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comp = connected_components(links(own.select("fp")), "simhash-links")
-    grouped = own.join(comp, own.fp == comp.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
-    ids = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stored(grouped.join(ids, "component").select("fp", "component_id"), "simhash-components")
-    return fps.join(named, "fp").select(
+    rows = fingerprints(docs)
+    parts = components(rows)
+    ids = parts.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = parts.join(ids, "component").select("fp", "component_id")
+    return rows.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row of least doc_id, once."""
+    parts = components(fingerprints(docs))
+    stay = parts.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), row_key(F.col("doc_id"), F.col("text")).alias("row"))
+    # the join deals the texts by row, and repeated rows are dropped in place
+    return keyed.join(stay, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")
+
+
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
