@@ -90,19 +90,31 @@ class Encoder:
         if len(self.pieces) > MAX_PIECES:
             self.old, self.pieces = self.pieces, {}
         known, old = self.pieces, self.old
-        wanted = {p for lines in cut for c in lines for p in c[1:]} - known.keys()  # heads have no space before them
-        known.update((p, old[p]) for p in wanted & old.keys())
-        if wanted := wanted - known.keys():
-            self._learn(list(wanted))
+        flat = [p for lines in cut for c in lines for p in c[1:]]  # the first piece of a line has no space before it
+        got = list(map(known.get, flat))
+        gaps = [i for i, ids in enumerate(got) if ids is None]
+        new = []
+        for p in {flat[i] for i in gaps}:
+            if p in old:
+                known[p] = old[p]
+            else:
+                new.append(p)
+        if new:
+            self._learn(new)
+        for i in gaps:
+            got[i] = known[flat[i]]
         if len(self.heads) > MAX_PIECES:
             self.heads.clear()
-        if new := sorted({c[0] for lines in cut for c in lines} - self.heads.keys()):
+        if new := [h for h in {c[0] for lines in cut for c in lines} | {"\n"} if h not in self.heads]:
             self.heads.update(zip(new, (np.array(i, "<u4").tobytes() for i in self.encode(new)), strict=True))
-        heads, get = self.heads, known.__getitem__
-        if len(texts) and "\n" not in self.heads:
-            self.heads["\n"] = np.array(self.encode(["\n"])[0], "<u4").tobytes()
-        line_end = heads["\n"]
-        return [line_end.join([heads[c[0]] + b"".join(map(get, c[1:])) for c in lines]) for lines in cut]
+        heads, line_end, at, out = self.heads, self.heads["\n"], 0, []
+        for lines in cut:
+            parts = []
+            for c in lines:
+                parts.append(heads[c[0]] + b"".join(got[at : at + len(c) - 1]))
+                at += len(c) - 1
+            out.append(line_end.join(parts))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
