@@ -7,6 +7,7 @@ from quittance.llm.quality import op10_quality_rules
 from quittance.llm.secrets import op8_secret_scan
 from quittance.llm.sharding import op4_sharding
 from quittance.llm.simhash import op6_simhash_near_dedup
+from quittance.llm.substring import op5_substring_dedup
 from quittance.llm.tokencount import op7_token_counts
 from quittance.llm.tokenio import op3_token_output
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_source_mixing": op2_source_mixing,
     "op3_token_output": op3_token_output,
     "op4_sharding": op4_sharding,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_secret_scan": op8_secret_scan,
