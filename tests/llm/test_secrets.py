@@ -1,0 +1,81 @@
+import base64
+import hashlib
+import json
+import re
+
+import pytest
+
+from quittance.llm import secrets
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
+
+
+def brute(text):
+    text = text or ""
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def shown(found):
+    return ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in found)
+
+
+def test_base_against_brute_force(docs, rows):
+    got = sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets.scan(docs).fillna(-1, ["doc_id"]).collect())
+    want = []
+    for r in rows:
+        b = brute(r[1])
+        want.append((-1 if r[0] is None else r[0], *(sum(k == i for _, k, _ in b) for i in range(3)), hashlib.sha256(shown(b).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "x AKIAAKIA" + "A" * 30,
+        "AKIA" + "a" * 40 + " " + "0" * 24,
+        "token token=abcdef secret: 'x' password == hunter22",
+        "apikey=ſecret TOKEN=Kelvin-long",
+        "é" * 10 + "a" * 30 + "G" + "b" * 23,
+        "password=" + "a" * 30,
+    ],
+)
+def test_base_spans(text):
+    assert [x for x in secrets.spans(text) if x[1] < 3] == brute(text)
+
+
+def tlv(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else b"\x82" + n.to_bytes(2, "big")) + body
+
+
+KEY = tlv(0x30, tlv(2, b"\0") + tlv(2, b"\x01" * 130) + tlv(2, b"\x01\0\x01") + tlv(4, b"x" * 60))
+
+
+def kinds(text):
+    return [secrets.KINDS[k] for _, k, _ in secrets.spans(text)]
+
+
+def test_structure_decides():
+    good = base64.b64encode(KEY).decode()
+    assert kinds(f"key {good} end") == ["der"]
+    assert "der" in kinds(f"key {KEY.hex()} end")
+    broken = bytearray(KEY)
+    broken[3] ^= 1
+    assert kinds("key " + base64.b64encode(bytes(broken)).decode()) == []
+    pem = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(good[i : i + 64] for i in range(0, len(good), 64)) + "\n-----END PRIVATE KEY-----"
+    assert "pem" in kinds(pem)
+    assert "pem" not in kinds(pem.replace(good[:20], "A" * 20))
+    b64 = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    jwt = f"{b64(json.dumps({'alg': 'HS256', 'typ': 'JWT'}).encode())}.{b64(b'{}')}.{b64(b'signature')}"
+    assert kinds(f"see {jwt} .") == ["jwt"]
+    assert kinds(f"see {b64(json.dumps({'no': 'algorithm here'}).encode())}.x.y") == []
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b""))
+    assert kinds(base64.b64encode(ssh + b"\0" * 20).decode()) == ["openssh"]
+
+
+def test_empty(no_docs):
+    assert secrets.scan(no_docs).count() == 0
