@@ -293,6 +293,16 @@ def entity_similarity(spark, sf_dir):
     return entities.similar(c, s, "block", 0.5).select("left_id", "right_id", "similarity")
 
 
+@query("""SELECT c_custkey AS left_id, s_suppkey AS right_id, round(1.0::DOUBLE - levenshtein(c_name, s_name)::DOUBLE / greatest(length(c_name), length(s_name)), 6) AS similarity
+FROM customer JOIN supplier ON c_nationkey = s_nationkey
+WHERE round(1.0::DOUBLE - levenshtein(c_name, s_name)::DOUBLE / greatest(length(c_name), length(s_name)), 6) >= 0.5""", results=False)
+def entity_similarity_by_nation(spark, sf_dir):
+    """All pairs of a nation; entity_similarity, as its SQL, only compares names with the same last two characters."""
+    c = fixtures.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("left_id"), F.col("c_name").alias("l_name"), F.col("c_nationkey").alias("block"))
+    s = fixtures.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("right_id"), F.col("s_name").alias("r_name"), F.col("s_nationkey").alias("block"))
+    return entities.similar(c, s, "block", 0.5).select("left_id", "right_id", "similarity")
+
+
 EVENT_S = "CAST(floor(epoch(ts)) AS BIGINT)"
 
 
