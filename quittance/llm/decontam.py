@@ -64,7 +64,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def candidates(index: DataFrame, wanted: DataFrame, slop: int = 0, depth: int = DEPTH) -> DataFrame:
-    """(doc_key, phrase, start) where the depth rarest terms of the phrase are in place."""
+    """(doc_key, phrase, start) where the depth rarest terms of the phrase are in place, or up to slop words from it."""
     at = wanted.select("phrase", F.posexplode("words").alias("off", "term"))
     seen = index.groupBy("term").agg(F.count("*").alias("n"))
     ranked = at.join(seen, "term").groupBy("phrase").agg(
@@ -74,7 +74,9 @@ def candidates(index: DataFrame, wanted: DataFrame, slop: int = 0, depth: int =
     ranked = wanted.join(ranked, "phrase").where(F.col("known") == F.size("words"))
     nth = lambda r: F.element_at("rare", F.least(F.lit(r), F.size("rare")))
     for_each = stored(ranked.select("phrase", *(nth(r)[k].alias(f"{k}{r}") for r in range(1, depth + 1) for k in ("term", "off"))), "rare-terms")
-    first = index.join(_small(for_each), F.col("term") == F.col("term1")).withColumn("start", F.col("pos") - F.col("off1"))
+    first = index.join(_small(for_each), F.col("term") == F.col("term1"))
+    start = F.col("pos") - F.col("off1")
+    first = first.withColumn("start", F.explode(F.sequence(start - slop, start + slop)) if slop else start)
     later = [f"{k}{r}" for r in range(2, depth + 1) for k in ("term", "off")]
     found = first.where("start >= 0").select("doc_key", "phrase", "start", *later)
     width = 2 * slop + 1

@@ -1,6 +1,9 @@
 import hashlib
+import random
 import re
 
+import pytest
+
 from quittance.llm import decontam
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -52,5 +55,26 @@ def test_proximity(spark):
     assert all(len(r.hits) == 0 for r in decontam.search(d, i).collect())
 
 
+@pytest.mark.parametrize("slop", [1, 2])
+def test_proximity_against_brute_force(spark, slop):
+    """Each word up to slop from its place, the rarest too; 'b a c d' for one, with a or b rarest."""
+    rng = random.Random(slop)
+    texts = ["b a c d", "b b b a c d", "a a a b c d", "x b a c d", "d c b a", "c"]
+    texts += [" ".join(rng.choice("abcdx") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    items = ["a b c d", "b a", "c", "d x a", "a a b"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    i = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = set()
+    for n, text in enumerate(texts):
+        w = text.split()
+        for m, item in enumerate(items):
+            g = item.split()
+            for s in range(len(w) + slop):
+                if all(g[k] in w[max(s + k - slop, 0) : s + k + slop + 1] for k in range(len(g))):
+                    want.add((n, s, str(m)))
+    got = {(r.doc["doc_id"], h["start"], x) for r in decontam.search(d, i, slop=slop).collect() for h in r.hits for x in h["items"]}
+    assert got == want and (0, 0, "0") in got
+
+
 def test_other_columns_stay(docs, bench):
     assert decontam.contamination(docs, bench).select("doc.*").columns == docs.columns
