@@ -7,9 +7,12 @@ with the document's words, which decides exactly. With ``slop`` > 0 every term m
 many words from its place (a proximity match).
 
 Null or empty text has no words and gives 0, 0, 0, the digest of an empty list and false. Repeated
-rows get a result each. An empty benchmark, or one without words, hits nothing. An item whose
-item_id is null marks words as hit but isn't listed or counted. Rows are told apart by a hash of
-doc_id and text, so doc_id may be null or repeated; other columns may have any names.
+rows get a result each, but are searched once: they share a key, and their equal postings are one
+after the first shuffle. An empty benchmark, or one without words, hits nothing; empty documents give
+no rows. An item whose item_id is null marks words as hit but isn't listed or counted. Rows are told
+apart by a hash of doc_id and text, so doc_id may be null or repeated; other columns may have any
+names. A very long text is one row of postings a word; only its hits are gathered in its row, and the
+items of a phrase once for each document and phrase, not for each hit.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Lists that are intersected before the exact comparison.
 DEPTH = 3
-#: Phrase tables of up to this many rows are sent to all executors, larger ones are shuffled.
-BROADCAST_ROWS = 200_000
+#: Tables of phrases and terms of up to this many bytes are sent to all executors, larger ones are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 def raw_words(text: Column) -> Column:
@@ -59,8 +62,9 @@ def phrases(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """Broadcast df only if a count of it is within the bound; else the join shuffles."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """Broadcast df only if the bytes of its rows, summed up, are within the bound; else the join shuffles."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def candidates(index: DataFrame, wanted: DataFrame, slop: int = 0, depth: int = DEPTH) -> DataFrame:
@@ -83,10 +87,13 @@ def candidates(index: DataFrame, wanted: DataFrame, slop: int = 0, depth: int =
     for r in range(2, depth + 1):
         due = F.col("start") + F.col(f"off{r}")
         cells = F.array_distinct(F.array(F.floor((due - slop) / width), F.floor((due + slop) / width)))
+        key = ["doc_key", "term", "cell"]
         left = found.withColumn("term", F.col(f"term{r}")).withColumn("cell", F.explode(cells))
         these = index.join(_small(for_each.select(F.col(f"term{r}").alias("term")).distinct()), "term", "left_semi")
         right = these.select("doc_key", "term", F.floor(F.col("pos") / width).alias("cell"), "pos")
-        near = left.join(right, ["doc_key", "term", "cell"]).where(F.abs(F.col("pos") - due) <= slop)
+        # repeated rows have equal postings: dropped where they meet, on the partitions of the join
+        left, right = (x.repartition(*key).dropDuplicates() for x in (left, right))
+        near = left.join(right, key).where(F.abs(F.col("pos") - due) <= slop)
         found = near.select("doc_key", "phrase", "start", *later)
         if slop:
             found = found.distinct()
@@ -94,34 +101,36 @@ def candidates(index: DataFrame, wanted: DataFrame, slop: int = 0, depth: int =
 
 
 def search(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """(doc, n_words, hits): doc has the columns of docs (doc_id and text among them), hits the matches.
+    """(doc, n_words, hits): doc has the columns of docs (doc_id and text among them), hits the phrases that match.
 
-    A hit is (start, words, items). docs is read twice; only candidates meet the texts again.
+    A hit is (starts, words, items) of a phrase. docs is read twice; only candidates meet the texts again.
     """
     wanted = phrases(items, window)
     index = build_index(docs, wanted.select(F.explode("words").alias("term")).distinct())
-    found = candidates(index, wanted, slop).join(_small(wanted), "phrase")
-    per_doc = found.groupBy("doc_key").agg(F.collect_set(F.struct("start", "words", "items")).alias("found"))
+    starts = candidates(index, wanted, slop).groupBy("doc_key", "phrase").agg(F.collect_set("start").alias("starts"))
+    per_doc = starts.join(_small(wanted), "phrase").groupBy("doc_key").agg(F.collect_list(F.struct("starts", "words", "items")).alias("found"))
     texts = docs.select(F.struct(*docs.columns).alias("doc")).select(
         doc_key(F.col("doc.doc_id"), F.col("doc.text")).alias("doc_key"), "doc"
     )
     joined = texts.join(per_doc, "doc_key", "left").select("doc", "found", raw_words(F.col("doc.text")).alias("raw"))
 
-    def in_place(c: Column) -> Column:
+    def in_place(words: Column, start: Column) -> Column:
         if not slop:
-            return F.transform(F.slice("raw", c["start"] + 1, F.size(c["words"])), ascii_lower) == c["words"]
-        around = lambda i: F.slice("raw", F.greatest(c["start"] + i - slop, F.lit(0)) + 1, F.least(c["start"] + i, F.lit(slop)) + slop + 1)
-        return F.forall(
-            F.sequence(F.lit(0), F.size(c["words"]) - 1),
-            lambda i: F.array_contains(F.transform(around(i), ascii_lower), F.get(c["words"], i)),
-        )
+            return F.transform(F.slice("raw", start + 1, F.size(words)), ascii_lower) == words
+        around = lambda i: F.slice("raw", F.greatest(start + i - slop, F.lit(0)) + 1, F.least(start + i, F.lit(slop)) + slop + 1)
+        return F.forall(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(F.transform(around(i), ascii_lower), F.get(words, i)))
+
+    def verified(c: Column) -> Column:
+        return F.struct(F.filter(c["starts"], lambda s: in_place(c["words"], s)).alias("starts"), c["words"].alias("words"), c["items"].alias("items"))
 
-    return joined.select("doc", F.size("raw").cast("long").alias("n_words"), F.filter(F.coalesce("found", F.array()), in_place).alias("hits"))
+    hits = F.filter(F.transform(F.coalesce("found", F.array()), verified), lambda h: F.size(h["starts"]) > 0)
+    return joined.select("doc", F.size("raw").cast("long").alias("n_words"), hits.alias("hits"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc and n_words, n_hit, n_items, items_sha256, contaminated of every row of docs."""
-    places = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + F.size(h["words"]) - 1)))
+    words_of = lambda h: F.flatten(F.transform(h["starts"], lambda s: F.sequence(s, s + F.size(h["words"]) - 1)))
+    places = F.flatten(F.transform("hits", words_of))
     listed = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
     return (
         search(docs, items, window)

@@ -72,9 +72,31 @@ def test_proximity_against_brute_force(spark, slop):
             for s in range(len(w) + slop):
                 if all(g[k] in w[max(s + k - slop, 0) : s + k + slop + 1] for k in range(len(g))):
                     want.add((n, s, str(m)))
-    got = {(r.doc["doc_id"], h["start"], x) for r in decontam.search(d, i, slop=slop).collect() for h in r.hits for x in h["items"]}
+    got = {(r.doc["doc_id"], s, x) for r in decontam.search(d, i, slop=slop).collect() for h in r.hits for s in h["starts"] for x in h["items"]}
     assert got == want and (0, 0, "0") in got
 
 
 def test_other_columns_stay(docs, bench):
     assert decontam.contamination(docs, bench).select("doc.*").columns == docs.columns
+
+
+def test_repeated_rows_are_searched_once(spark, bench_rows):
+    """Equal rows share their candidates: as many as one row has, not the cube of the copies."""
+    items = spark.createDataFrame(bench_rows[:1], "item_id long, text string")
+    rows = [(1, f"before {bench_rows[0][1]} after")] * 300 + [(None, bench_rows[0][1])] * 50
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = decontam.phrases(items)
+    assert decontam.candidates(decontam.build_index(d), wanted).count() == 2 * wanted.count()
+    got = sorted(map(tuple, decontam.contamination(d, items).select(*NAMES).collect()), key=str)
+    assert got == brute(rows, bench_rows[:1])
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_phrase_of_all_items(spark, monkeypatch, sent):
+    """A header that all items share, with phrases shuffled and sent."""
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", sent)
+    head = "answer this question with one of the letters below now please"
+    items = [(n, f"{head} number{n} and{n}") for n in range(200)]
+    rows = [(0, f"x {head} y {head}"), (1, items[3][1]), (2, "no such header"), (3, None), (4, "")]
+    got = decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.select(*NAMES).collect()), key=str) == brute(rows, items)
