@@ -20,7 +20,7 @@ def goal(sizes):
 
 
 def measure(docs):
-    kept = mixing.drawn(docs.select("doc_id", "text", "source"))
+    kept = mixing.drawn(docs)
     return mixing.copies(kept, mixing.plan(kept)).selectExpr("doc_id", "source", "size", "source_size", "target", "size * copies AS taken").collect()
 
 
@@ -54,3 +54,28 @@ def test_mix_repeats_rows(docs):
 
 def test_empty(no_docs):
     assert measure(no_docs) == [] and mixing.mix(no_docs).count() == 0
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(i, "some words here", "s", 99, "t", 1.5, 7, 8, 3, 4, 5) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, tie string, key double, cell int, sub int, copies int, target int, row int")
+    assert set(map(tuple, mixing.mix(d).collect())) <= set(rows)
+    assert mixing.mix(d).columns == d.columns
+
+
+def test_low_weights_spread_over_cells(spark):
+    """Texts without spaces, and weights near zero, don't pile up in a cell."""
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(i, "\u6f22\u5b57" * (50 + i % 7), "s") for i in range(3000)], "doc_id long, text string, source string")
+    for weight in (None, F.lit(1e-9)):
+        rows = mixing.drawn(d, weight)
+        assert rows.groupBy("cell").count().agg(F.max("count")).first()[0] < 60
+        taken = mixing.copies(rows, mixing.plan(rows)).selectExpr("sum(size * copies)").first()[0]
+        assert abs(taken - 4500) <= 1
+
+
+def test_source_without_words(spark):
+    d = spark.createDataFrame([(1, None, "a"), (2, " ", "a"), (3, "x y z", "b")], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.target, r.taken) for r in measure(d)}
+    assert got[1] == got[2] == (0.0, 0) and got[3][1] in (3, 6)
