@@ -6,17 +6,21 @@ zstandard on its own, so the planes that hardly change cost next to nothing. Aft
 the chunk index (place, length, first id and plane lengths of each block) and the document table
 (doc_id and token count), then a fixed-size tail that says where they are.
 
-Documents are dealt by ranges of doc_id, so files in order of their number hold them in ascending
-doc_id order (null doc_ids first; rows of equal doc_id by a hash of their text). Null and empty
-text: only the end id. A file is written under a name of the task's attempt and then renamed, so a
-repeated task replaces it whole. Memory: one block and one batch of documents; texts of any length
-are written and read in blocks. An empty table gives no files and no rows.
+Documents are dealt by ranges of doc_id, so files in order of their numbers (part, and file of the
+part) hold them in ascending doc_id order (null doc_ids first; rows of equal doc_id by a hash of
+their text). Null and empty text: only the end id. A file is written under a name of the task's
+attempt and then renamed, so a repeated task replaces it whole; what lost attempts leave is removed
+at the end. A file is closed once it holds FILE_IDS ids or FILE_DOCS documents, so the chunk index and
+document table that its writer and reader hold are bounded; beside them memory holds one block and one
+batch of documents, and a text of any length is written and read in blocks. An empty table gives no
+files and no rows. Other columns of docs are ignored.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +33,7 @@ from quittance.llm.common import new_path, stored
 from quittance.llm.tokens import encoder, tokenizer_path
 
 MAGIC, BLOCK, END_ID, LEVEL = b"QPL1", 1 << 16, 0, 3
+FILE_IDS, FILE_DOCS = 1 << 26, 1 << 18
 _TAIL = struct.Struct("<QQQQB3x4s")  # index place and length, table length, blocks, planes, magic
 
 
@@ -58,10 +63,12 @@ class PlaneWriter:
         self.held: list[bytes] = []
         self.held_n = 0
         self.index: list[bytes] = []
-        self.docs: list[tuple[int | None, int]] = []
+        self.docs: list[int | None] = []
+        self.counts = array("q")
 
     def add(self, doc_id: int | None, packed: bytes) -> None:
-        self.docs.append((doc_id, len(packed) // 4))
+        self.docs.append(doc_id)
+        self.counts.append(len(packed) // 4)
         self.held.append(packed)
         self.held_n += len(packed) // 4
         while self.held_n >= self.block:
@@ -84,8 +91,7 @@ class PlaneWriter:
         if self.held_n:
             self._flush()
         index = b"".join(self.index)
-        keys = pa.array([d for d, _ in self.docs], pa.int64())
-        batch = pa.record_batch([keys, pa.array([n for _, n in self.docs], pa.int64())], ["doc_id", "n"])
+        batch = pa.record_batch([pa.array(self.docs, pa.int64()), pa.array(np.frombuffer(self.counts, np.int64))], ["doc_id", "n"])
         buf = pa.BufferOutputStream()
         with pa.ipc.new_stream(buf, batch.schema) as w:
             w.write_batch(batch)
@@ -110,7 +116,7 @@ class PlaneReader:
         if len(self.index) != blocks:
             raise ValueError("the chunk index is cut")
         table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(source.read(n_table))).read_all()
-        self.doc_ids, self.counts = table["doc_id"].to_pylist(), table["n"].to_numpy()
+        self.doc_ids, self.counts = table["doc_id"].combine_chunks(), table["n"].to_numpy()
 
     def block(self, i: int) -> np.ndarray:
         at, _, n, *lengths = self.index[i]
@@ -135,35 +141,54 @@ def _fs(path: str):
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, bits: bool = False, block: int = BLOCK) -> DataFrame:
-    """Encode docs (doc_id, text) and write plane files to path; a stored row (part, file, n_docs, n_ids) for each."""
+    """Encode docs (doc_id, text) and write plane files to path; a stored row (part, nth, file, n_docs, n_ids) for each."""
+    most_ids, most_docs = FILE_IDS, FILE_DOCS
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, end = TaskContext.get(), struct.pack("<I", end_id)
         part, enc = task.partitionId(), encoder(tokenizer)
-        out, sink = None, None
+        store, top = _fs(path)
+        out, sink, nth = None, None, 0
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            sink.close()
+            name = f"part-{part:05d}-{nth:05d}.planes"
+            store.move(own, f"{top}/{name}")
+            return pa.RecordBatch.from_pydict({"part": [part], "nth": [nth], "file": [name], "n_docs": [len(out.docs)], "n_ids": [out.n_ids]})
+
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 b = whole.slice(at, 128)
-                if out is None:
-                    store, top = _fs(path)
-                    store.create_dir(top)
-                    own = f"{top}/_part-{part:05d}-{task.taskAttemptId()}"
-                    sink = store.open_output_stream(own)
-                    out = PlaneWriter(sink, bits, block)
                 for doc_id, packed in zip(b.column("doc_id").to_pylist(), enc.packed([t or "" for t in b.column("text").to_pylist()]), strict=True):
+                    if out is None:
+                        store.create_dir(top)
+                        own = f"{top}/_part-{part:05d}-{nth:05d}-{task.taskAttemptId()}"
+                        sink = store.open_output_stream(own)
+                        out = PlaneWriter(sink, bits, block)
                     out.add(doc_id, packed + end)
+                    if out.n_ids + out.held_n >= most_ids or len(out.docs) >= most_docs:
+                        yield closed()
+                        out, nth = None, nth + 1
         if out is not None:
-            out.close()
-            sink.close()
-            name = f"part-{part:05d}.planes"
-            store.move(own, f"{top}/{name}")
-            yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [len(out.docs)], "n_ids": [out.n_ids]})
+            yield closed()
 
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id", F.xxhash64("text"))
     sorted_ = ranged.sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return stored(sorted_.mapInArrow(write, "part long, file string, n_docs long, n_ids long"), "token-files")
+    files = stored(sorted_.mapInArrow(write, "part long, nth long, file string, n_docs long, n_ids long"), "token-files")
+    _remove_unfinished(path)
+    return files
+
+
+def _remove_unfinished(path: str) -> None:
+    from pyarrow import fs
+
+    store, top = _fs(path)
+    for f in store.get_file_info(fs.FileSelector(top, allow_not_found=True)):
+        if f.base_name.startswith("_part-"):
+            store.delete_file(f.path)
 
 
 def read_digests(files: DataFrame, path: str) -> DataFrame:
@@ -176,26 +201,27 @@ def read_digests(files: DataFrame, path: str) -> DataFrame:
                 size = store.get_file_info(f"{top}/{name}").size
                 with store.open_input_file(f"{top}/{name}") as source:
                     r = PlaneReader(source, size)
-                    crcs, starts, have, i, at = [], [], np.zeros(0, "<u4"), 0, base
-                    for n in r.counts.tolist():
-                        crc, need = 0, n
-                        while need:
-                            if not len(have):
-                                have, i = r.block(i), i + 1
-                            crc = zlib.crc32(have[:need].tobytes(), crc)
-                            have, need = have[need:], need - min(need, len(have))
-                        crcs.append(crc)
-                        starts.append(at)
-                        at += n
-                for s in range(0, len(crcs), 10_000):
-                    e = s + 10_000
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(r.doc_ids[s:e], pa.int64()), pa.array(starts[s:e], pa.int64()), pa.array(r.counts[s:e], pa.int64()), pa.array(crcs[s:e], pa.int64())],
-                        ["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
+                    have, i, at = np.zeros(0, "<u4"), 0, base
+                    for s in range(0, len(r.counts), 10_000):
+                        counts = r.counts[s : s + 10_000]
+                        crcs = []
+                        for n in counts.tolist():
+                            crc, need = 0, n
+                            while need:
+                                if not len(have):
+                                    have, i = r.block(i), i + 1
+                                crc = zlib.crc32(have[:need].tobytes(), crc)
+                                have, need = have[need:], need - min(need, len(have))
+                            crcs.append(crc)
+                        starts = at + np.cumsum(counts) - counts
+                        at += int(counts.sum())
+                        yield pa.RecordBatch.from_arrays(
+                            [r.doc_ids[s : s + 10_000], pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())],
+                            ["doc_id", "start", "n_tokens", "ids_crc32"],
+                        )
 
     # one row per file: the only rows of this window
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     spread = files.select("file", before.alias("base")).repartition(max(1, files.count()))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -1,4 +1,4 @@
-"""Encoding with public tokenizer files, a bounded number of distinct pieces at a time."""
+"""Encoding with public tokenizer files; the ids of short pieces are kept, up to a bound of bytes."""
 
 from __future__ import annotations
 
@@ -12,8 +12,8 @@ import numpy as np
 _SPACE = re.compile(r" (?=\S)(?<=\S )")
 #: Likewise a single line end between two such characters is a token of its own.
 _LINE = re.compile(r"\n(?=\S)(?<=\S\n)")
-#: Distinct pieces that a worker keeps in each of two generations.
-MAX_PIECES = 600_000
+#: Pieces of up to so many characters are kept, up to about so many bytes in each of two generations; longer ones are encoded each time.
+KEPT_CHARS, KEPT_BYTES = 64, 96 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,6 +34,7 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
+        self.kept = self.kept_heads = 0
         self.by_piece = False
         if path.endswith(".model"):
             import sentencepiece
@@ -62,52 +63,58 @@ class Encoder:
                 and pre.get("use_regex", True)
                 and not pre.get("add_prefix_space")
                 and not j.get("normalizer")
-                and not any(" " in a["content"] or a["lstrip"] or a["rstrip"] for a in j.get("added_tokens", []))
+                and not (j.get("model") or {}).get("dropout")
+                and not any(re.search(r"\s", a["content"]) or a["lstrip"] or a["rstrip"] or a.get("single_word") for a in j.get("added_tokens", []))
             )
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces that follow a space, many in one text: a piece without a space inside starts at each id
+    def _after_spaces(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that follow a space, many in one text: a piece without a space inside starts at each id
         whose token begins with the byte of a space."""
-        plain = [p for p in new if " " not in p]
+        plain, out = [p for p in new if " " not in p], {}
         if plain:
             ids = np.array(self.encode([" " + " ".join(plain)])[0], "<u4")
             cut = (np.flatnonzero(self.after_space[ids]) * 4).tolist()
             if len(cut) == len(plain):
                 raw = ids.tobytes()
-                self.pieces.update(zip(plain, map(raw.__getitem__, map(slice, cut, [*cut[1:], len(raw)])), strict=True))
-            else:
-                new, plain = [*new], []
-        if len(plain) < len(new):
-            rest = [p for p in new if p not in self.pieces]
-            got = self.encode([" " + p for p in rest])
-            self.pieces.update(zip(rest, (np.array(i, "<u4").tobytes() for i in got), strict=True))
+                out = dict(zip(plain, map(raw.__getitem__, map(slice, cut, [*cut[1:], len(raw)])), strict=True))
+        if rest := [p for p in new if p not in out]:
+            out.update(zip(rest, (np.array(i, "<u4").tobytes() for i in self.encode([" " + p for p in rest])), strict=True))
+        return out
+
+    @staticmethod
+    def _keep(known: dict[str, bytes], new: dict[str, bytes]) -> int:
+        """Store what is short in known; about the bytes that this takes."""
+        short = {p: ids for p, ids in new.items() if len(p) <= KEPT_CHARS}
+        known.update(short)
+        return sum(4 * len(p) + len(ids) + 200 for p, ids in short.items())
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_piece:
             return [np.array(i, "<u4").tobytes() for i in self.encode(texts)]
         cut = [[_SPACE.split(line) for line in _LINE.split(t)] for t in texts]
-        if len(self.pieces) > MAX_PIECES:
-            self.old, self.pieces = self.pieces, {}
+        if self.kept > KEPT_BYTES:
+            self.old, self.pieces, self.kept = self.pieces, {}, 0
         known, old = self.pieces, self.old
         flat = [p for lines in cut for c in lines for p in c[1:]]  # the first piece of a line has no space before it
         got = list(map(known.get, flat))
         gaps = [i for i, ids in enumerate(got) if ids is None]
-        new = []
-        for p in {flat[i] for i in gaps}:
-            if p in old:
-                known[p] = old[p]
-            else:
-                new.append(p)
-        if new:
-            self._learn(new)
+        missing = {flat[i] for i in gaps}
+        now = {p: old[p] for p in missing if p in old}
+        if new := [p for p in missing if p not in now]:
+            now.update(self._after_spaces(new))
+        self.kept += self._keep(known, now)
         for i in gaps:
-            got[i] = known[flat[i]]
-        if len(self.heads) > MAX_PIECES:
-            self.heads.clear()
-        if new := [h for h in {c[0] for lines in cut for c in lines} | {"\n"} if h not in self.heads]:
-            self.heads.update(zip(new, (np.array(i, "<u4").tobytes() for i in self.encode(new)), strict=True))
-        heads, line_end, at, out = self.heads, self.heads["\n"], 0, []
+            got[i] = now[flat[i]]
+        if self.kept_heads > KEPT_BYTES:
+            self.heads, self.kept_heads = {}, 0
+        first = {c[0] for lines in cut for c in lines} | {"\n"}
+        heads = {h: self.heads[h] for h in first if h in self.heads}
+        if new := [h for h in first if h not in heads]:
+            fresh = dict(zip(new, (np.array(i, "<u4").tobytes() for i in self.encode(new)), strict=True))
+            self.kept_heads += self._keep(self.heads, fresh)
+            heads.update(fresh)
+        line_end, at, out = heads["\n"], 0, []
         for lines in cut:
             parts = []
             for c in lines:
