@@ -5,8 +5,12 @@ else may change, as counts are of whole texts as they stand) and a digest of the
 library version. Only distinct digests without a stored count are encoded; their counts are appended
 to the cache, so another run over the same texts encodes nothing.
 
+The query keeps its cache in one folder for each tokenizer version, below spark.checkpoint.dir.
+
 Null and empty text: 0 bytes, 0 tokens. Repeated rows: one result each, encoded once. Two runs that
-append the same digest at a time do no harm: equal counts are read once. Other columns are ignored.
+append the same digest at a time do no harm: equal counts are read once. A text of any length is
+encoded whole. An empty table gives no rows. Other columns are ignored. Rows meet their counts by
+digest; the digest of a text that very many rows share is a skewed key, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quittance.llm.common import new_path, stored
+from quittance.llm.common import new_path, shared_dir, stored
 from quittance.llm.tokens import encoder, file_digest, tokenizer_path
 
 LIMIT = 1024
@@ -73,4 +77,6 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: s
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return token_counts(docs).withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    name = "byte_bpe_50k.json"
+    cache = f"{shared_dir(spark)}/token-counts/{tokenizer_version(tokenizer_path(name))}"
+    return token_counts(docs, name, cache).withColumn("over_limit", F.col("n_tokens") > LIMIT)

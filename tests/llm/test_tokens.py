@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quittance.llm import tokencount, tokenio
+from quittance.llm import tokencount, tokenio, tokens
 from quittance.llm.tokens import encoder, tokenizer_path
 
 NAME = "byte_bpe_50k.json"
@@ -44,6 +44,34 @@ def test_files_round_trip(docs, rows, plain):
     assert sorted((str(r[0]), r[2], r[3]) for r in got) == want
 
 
+@pytest.mark.parametrize("bits", [False, True])
+def test_rolling_files(spark, monkeypatch, tmp_path, rows, docs, plain, bits):
+    """Many small files of a part, byte and bit planes, and what a lost attempt left."""
+    monkeypatch.setattr(tokenio, "FILE_IDS", 3000)
+    monkeypatch.setattr(tokenio, "FILE_DOCS", 5)
+    path = str(tmp_path / "planes")
+    (tmp_path / "planes").mkdir()
+    (tmp_path / "planes" / "_part-00000-00000-99").write_bytes(b"cut")
+    files = tokenio.write_ids(docs, path, tokenizer_path(NAME), bits=bits, block=512)
+    got = sorted(map(tuple, tokenio.read_digests(files, path).collect()), key=lambda r: r[1])
+    assert max(f.n_docs for f in files.collect()) == 5 and files.count() > len(rows) // 5
+    assert sorted(p.name for p in (tmp_path / "planes").iterdir()) == sorted(f.file for f in files.collect())
+    want = sorted((str(r[0]), len(x := [*ids_of(plain, r[1]), 0]), zlib.crc32(np.array(x, "<u4").tobytes())) for r in rows)
+    assert sorted((str(r[0]), r[2], r[3]) for r in got) == want
+    assert [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got)])[:-1].tolist()
+
+
+def test_kept_pieces_are_bounded(monkeypatch, plain):
+    """Long pieces aren't kept, many short ones only up to the bytes of two generations; ids stay right."""
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 20_000)
+    enc = tokens.Encoder(tokenizer_path(NAME))
+    for i in range(0, 2000, 100):
+        texts = [f"w{j} x{j * 7} {'ab9' * 40}{j} line\nhead{j} end" for j in range(i, i + 100)]
+        assert [np.frombuffer(p, "<u4").tolist() for p in enc.packed(texts)] == [ids_of(plain, t) for t in texts]
+        assert max(map(len, [*enc.pieces, *enc.old, *enc.heads])) <= tokens.KEPT_CHARS
+        assert len(enc.pieces) + len(enc.old) + len(enc.heads) < 1500
+
+
 @pytest.mark.parametrize("bits", [False, True])
 @pytest.mark.parametrize("n", [0, 1, 7, 1000, 5000])
 def test_planes(n, bits):
@@ -56,7 +84,7 @@ def test_planes(n, bits):
     w.add(None, ids[: n // 2].tobytes())
     w.close()
     r = tokenio.PlaneReader(sink, sink.tell())
-    assert r.doc_ids == [1, None] and r.counts.tolist() == [n, n // 2]
+    assert r.doc_ids.to_pylist() == [1, None] and r.counts.tolist() == [n, n // 2]
     assert (r.ids(n, n // 2) == ids[: n // 2]).all() and (r.ids(0, n) == ids).all()
 
 
@@ -87,5 +115,19 @@ def test_cache_is_used(spark, docs, tmp_path):
     assert spark.read.parquet(cache).count() == n
 
 
+def test_query_hits_its_cache(spark, tmp_path, docs):
+    """A second run over the same and more documents encodes only the new ones."""
+    docs.limit(40).coalesce(1).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    key = lambda df: sorted(map(str, df.collect()))
+    first = key(tokencount.op7_token_counts(spark, str(tmp_path / "a")))
+    both = key(tokencount.op7_token_counts(spark, str(tmp_path / "b")))
+    cache = f"{tokencount.shared_dir(spark)}/token-counts/{tokencount.tokenizer_version(tokenizer_path(NAME))}"
+    stored = spark.read.parquet(cache)
+    assert stored.count() == stored.select("digest").distinct().count()
+    assert set(first) <= set(both) == {str(r) for r in both}
+    assert key(tokencount.op7_token_counts(spark, str(tmp_path / "b"))) == both
+
+
 def test_empty(no_docs):
     assert tokenio.token_output(no_docs).count() == 0 and tokencount.token_counts(no_docs).count() == 0
