@@ -1,27 +1,34 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Each document is measured; KLL sketches of the measures are built per language and source, merged
-into sketches per language and over all, and give the bounds that fixed cutoffs would otherwise be:
-a document is kept if each measure lies within the fences that the quantiles of its group span. A
-group of fewer than MIN_GROUP documents uses its language's fences, and those of all documents if
-that is small too. Base rules come before and are never overruled.
+Each document is measured. A sketch counts the values of a measure in cells whose bounds grow by a
+factor of GAMMA (zero has its own), so any quantile is known to a relative error; counts of a language
+and source add up to those of the language and of all, and are the same however rows are dealt out.
+Fences are laid at REACH spreads beyond the quartiles, a spread being the distance of the quartile
+from the median, or LEAST of what the measure can tell apart if that is more. A group of fewer than
+MIN_GROUP documents uses its language's fences, and those of all documents if that is small too. If a
+group's median lies within its language's fences but its quartile doesn't, the group holds junk
+beside documents like the others, and the language's fence holds there. A document is kept if each
+measure lies within its fences. Base rules come before and are never overruled.
 
 Null and empty text: no words, so the base rules fail it. Null lang or source is a group of its own.
-Repeated rows: one result each; repeats count in the sketches. Other columns are ignored.
+Very long texts are measured whole. Equal values fall in equal cells, so ties are judged alike.
+Repeated rows: one result each; repeats count in the sketches. An empty table gives no rows. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quittance.llm.common import SPACE, spaced_words, stored
 
 MIN_GROUP = 200
-#: Quantiles from whose distance the fences are laid, and how many of these distances beyond them.
-LOW_Q, HIGH_Q, REACH = 0.1, 0.9, 3.0
-#: Measures and the least distance of their fences, so that groups of nearly equal documents keep small variations.
-MEASURES = {"symbol_share": 0.25, "dup_share": 0.1, "word_length": 2.0, "repeat_share": 0.1}
+GAMMA, REACH = 1.02, 8.0
+#: Measures and the least spread of each: a part of the median, and an amount that a few marks, lines or words make.
+MEASURES = {"symbol_share": (0.1, 0.01), "dup_share": (0.1, 0.05), "word_length": (0.04, 0.0), "repeat_share": (0.1, 0.04)}
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -47,6 +54,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.size("w").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
+        F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("w") >= 3, windows).otherwise(F.array().cast("array<bigint>")).alias("g"),
     )
@@ -74,59 +82,81 @@ def with_measures(counts: DataFrame) -> DataFrame:
     n = F.greatest("n_words", F.lit(1))
     return (
         counts.withColumn("symbol_share", F.col("n_symbols") / n)
-        .withColumn("dup_share", F.col("n_dup_lines") / n)
+        .withColumn("dup_share", F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)))
         .withColumn("word_length", F.col("word_chars") / n)
         .withColumn("repeat_share", F.col("n_repeat_words") / n)
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     )
 
 
+def cell(x: Column) -> Column:
+    """The cell of a value: 0 for zero, else the place of its logarithm, counted from what is less than any measure."""
+    return F.when(x > 0, F.floor(F.log(x) / math.log(GAMMA)) + 2000).otherwise(0).cast("int")
+
+
+def value(cell: Column) -> Column:
+    return F.when(cell > 0, F.pow(F.lit(GAMMA), cell - 1999.5)).otherwise(0.0)
+
+
 def sketches(rows: DataFrame) -> DataFrame:
-    """(level, lang, source, n, a KLL sketch of each measure): per language and source, merged per language, merged over all."""
-    measured_rows = rows.where(~F.col("base_failed"))
-    each = measured_rows.groupBy("lang", "source").agg(
-        F.count("*").alias("n"), *(F.kll_sketch_agg_double(m).alias(m) for m in MEASURES)
-    )
-    each = stored(each, "quality-sketches")
-    merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m).alias(m) for m in MEASURES)]
+    """(level, lang, source, measure, cell, n): counts per language and source, merged per language, merged over all."""
+    good = rows.where(~F.col("base_failed"))
+    both = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), cell(F.col(m)).alias("cell")) for m in MEASURES)))
+    each = good.select("lang", "source", both.alias("x")).groupBy("lang", "source", "x.measure", "x.cell").agg(F.count("*").alias("n"))
+    each = stored(each.select(F.lit("source").alias("level"), "lang", "source", "measure", "cell", "n"), "quality-sketches")
     none = F.lit(None).cast("string")
-    by_lang = each.groupBy("lang").agg(*merged).select(F.lit("lang").alias("level"), "lang", none.alias("source"), "n", *MEASURES)
-    over_all = each.groupBy().agg(*merged).where("n > 0").select(F.lit("all").alias("level"), none.alias("lang"), none.alias("source"), "n", *MEASURES)
-    return each.select(F.lit("source").alias("level"), "lang", "source", "n", *MEASURES).unionByName(by_lang).unionByName(over_all)
+    by_lang = each.groupBy("lang", "measure", "cell").agg(F.sum("n").alias("n")).select(F.lit("lang").alias("level"), "lang", none.alias("source"), "measure", "cell", "n")
+    over_all = each.groupBy("measure", "cell").agg(F.sum("n").alias("n")).select(F.lit("all").alias("level"), none.alias("lang"), none.alias("source"), "measure", "cell", "n")
+    return each.unionByName(by_lang).unionByName(over_all)
 
 
 def fences(sketched: DataFrame) -> DataFrame:
-    """(level, lang, source, n, {measure}_lo, {measure}_hi) of each group."""
-    out = ["level", "lang", "source", "n"]
-    for m, least in MEASURES.items():
-        low, high = (F.kll_sketch_get_quantile_double(m, F.lit(q)) for q in (LOW_Q, HIGH_Q))
-        reach = REACH * F.greatest(high - low, F.lit(least))
-        out += [(low - reach).alias(f"{m}_lo"), (high + reach).alias(f"{m}_hi")]
-    return sketched.select(*out)
+    """(level, lang, source, n, {measure}_lo, {measure}_hi and quartiles {measure}_q1, _q2, _q3) of each group."""
+    key = ["level", "lang", "source", "measure"]
+    upto = F.sum("n").over(Window.partitionBy(*key).orderBy("cell"))
+    total = F.sum("n").over(Window.partitionBy(*key))
+    laid = sketched.withColumn("upto", upto).withColumn("total", total)
+    quartile = lambda q: value(F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("cell")))).alias(f"q{q}")
+    each = laid.groupBy(*key).agg(F.max("total").alias("n"), *map(quartile, (1, 2, 3)))
+    part, least = (F.element_at(F.create_map(*(x for m, v in MEASURES.items() for x in (F.lit(m), F.lit(v[i])))), F.col("measure")) for i in (0, 1))
+    least = F.greatest(part * F.col("q2"), least)
+    each = each.withColumn("lo", F.col("q1") - REACH * F.greatest(F.col("q2") - F.col("q1"), least))
+    each = each.withColumn("hi", F.col("q3") + REACH * F.greatest(F.col("q3") - F.col("q2"), least))
+    cols = [F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m in MEASURES for e in ("lo", "hi", "q1", "q2", "q3")]
+    return each.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *cols)
+
+
+def group_fences(bounds: DataFrame) -> DataFrame:
+    """(lang, source, {measure}_lo, {measure}_hi) to be used for every group: its own, its language's or those of all."""
+    ends = [f"{m}_{e}" for m in MEASURES for e in ("lo", "hi")]
+    lang = bounds.where(f"level = 'lang' AND n >= {MIN_GROUP}").select(F.col("lang").alias("l"), F.lit(True).alias("known"), *(F.col(x).alias(f"l_{x}") for x in ends))
+    over_all = bounds.where("level = 'all'").select(*(F.col(x).alias(f"a_{x}") for x in ends))  # one row
+    g = bounds.where("level = 'source'").join(lang, F.col("lang").eqNullSafe(F.col("l")), "left").join(F.broadcast(over_all), how="left")
+    out = ["lang", "source"]
+    own, listed = F.col("n") >= MIN_GROUP, F.coalesce("known", F.lit(False))
+    for m in MEASURES:
+        lo, hi, q1, q2, q3, llo, lhi = (F.col(f"{x}") for x in (f"{m}_lo", f"{m}_hi", f"{m}_q1", f"{m}_q2", f"{m}_q3", f"l_{m}_lo", f"l_{m}_hi"))
+        inside = listed & (q2 >= llo) & (q2 <= lhi)
+        high = F.when(own, F.when(inside & (q3 > lhi), lhi).otherwise(hi)).when(listed, lhi).otherwise(F.col(f"a_{m}_hi"))
+        low = F.when(own, F.when(inside & (q1 < llo), llo).otherwise(lo)).when(listed, llo).otherwise(F.col(f"a_{m}_lo"))
+        out += [low.alias(f"{m}_lo"), high.alias(f"{m}_hi")]
+    return g.select(*out)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the base counts, base_failed and kept of every row."""
     rows = stored(with_measures(measured(docs)), "quality-measures")
-    bounds = stored(fences(sketches(rows)), "quality-fences")
-    own = bounds.where(f"level = 'source' AND n >= {MIN_GROUP}").drop("level", "n")
-    lang = bounds.where(f"level = 'lang' AND n >= {MIN_GROUP}").drop("level", "n", "source")
-    names = [f"{m}_{e}" for m in MEASURES for e in ("lo", "hi")]
-    rename = lambda df, tag, keys: df.select(*(F.col(k).alias(f"{tag}_{k}") for k in keys), *(F.col(x).alias(f"{tag}_{x}") for x in names))
-    # one row per group, as small as the number of languages and sources
-    joined = (
-        rows.join(
-            rename(own, "s", ["lang", "source"]),
-            F.col("lang").eqNullSafe(F.col("s_lang")) & F.col("source").eqNullSafe(F.col("s_source")),
-            "left",
-        )
-        .join(rename(lang, "l", ["lang"]), F.col("lang").eqNullSafe(F.col("l_lang")), "left")
-        .join(F.broadcast(rename(bounds.where("level = 'all'"), "a", [])), how="left")
+    bounds = stored(group_fences(stored(fences(sketches(rows)), "quality-quartiles")), "quality-fences")
+    # one row per language and source of which a document passes the base rules
+    joined = rows.join(
+        bounds.withColumnsRenamed({"lang": "g_lang", "source": "g_source"}),
+        F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")),
+        "left",
     )
     inside = F.lit(True)
     for m in MEASURES:
-        lo, hi = (F.coalesce(f"s_{m}_{e}", f"l_{m}_{e}", f"a_{m}_{e}") for e in ("lo", "hi"))
-        inside = inside & F.coalesce((F.col(m) >= lo) & (F.col(m) <= hi), F.lit(True))
+        # value and fences meet as cells' values: the same on both sides of a fence that lies on a value
+        inside = inside & F.coalesce((value(cell(F.col(m))) >= F.col(f"{m}_lo")) & (value(cell(F.col(m))) <= F.col(f"{m}_hi")), F.lit(False))
     return joined.withColumn("kept", ~F.col("base_failed") & inside).select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

@@ -1,5 +1,9 @@
+import math
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+
+import pytest
 
 from quittance.llm import quality
 from quittance.llm.common import stored
@@ -45,12 +49,108 @@ def test_fences_follow_the_group(spark):
 
 
 def test_sketches_merge(spark, docs):
-    """The sketch over all counts every row that passes the base rules."""
+    """Counts of groups add up to those of all, whatever the partitions."""
     rows = stored(quality.with_measures(quality.measured(docs.select("doc_id", "text", "lang", "source"))), "measures")
-    s = quality.sketches(rows)
-    n = rows.where("NOT base_failed").count()
-    assert {r.level: r.n for r in s.groupBy("level").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()} == {"source": n, "lang": n, "all": n}
+    n = rows.where("NOT base_failed").count() * len(quality.MEASURES)
+    got = {r.level: r.n for r in quality.sketches(rows).groupBy("level").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert got == {"source": n, "lang": n, "all": n}
+    laid = lambda df: sorted(map(str, quality.fences(quality.sketches(df)).collect()))
+    assert laid(rows.repartition(1)) == laid(rows.repartition(7, "doc_id"))
+
+
+def brute_kept(rows):
+    """Verdicts from sorted values of each group, as the docstring has it."""
+    measured = []
+    for doc_id, text, lang, source in rows:
+        n, chars, symbols, dup, repeat, failed = brute(text)
+        lines = len([x for x in (text or "").split("\n") if WORD.search(x)])
+        x = {"symbol_share": symbols / max(n, 1), "dup_share": dup / max(lines, 1), "word_length": chars / max(n, 1), "repeat_share": repeat / max(n, 1)}
+        x = {m: quality.GAMMA ** (math.floor(math.log(v) / math.log(quality.GAMMA)) + 0.5) if v else 0.0 for m, v in x.items()}
+        measured.append((doc_id, lang, source, failed, x))
+    groups = defaultdict(list)
+    for _, lang, source, failed, x in measured:
+        if not failed:
+            for g in (("source", lang, source), ("lang", lang), ("all",)):
+                groups[g].append(x)
+
+    def laid(g, m):
+        v = sorted(x[m] for x in groups[g])
+        q1, q2, q3 = (v[math.ceil(len(v) * q / 4) - 1] for q in (1, 2, 3))
+        part, least = quality.MEASURES[m]
+        least = max(part * q2, least)
+        return q1, q2, q3, q1 - quality.REACH * max(q2 - q1, least), q3 + quality.REACH * max(q3 - q2, least)
+
+    def fence(lang, source, m):
+        known = len(groups["lang", lang]) >= quality.MIN_GROUP
+        if len(groups["source", lang, source]) < quality.MIN_GROUP:
+            return laid(("lang", lang) if known else ("all",), m)[3:]
+        q1, q2, q3, lo, hi = laid(("source", lang, source), m)
+        if known:
+            *_, llo, lhi = laid(("lang", lang), m)
+            if llo <= q2 <= lhi:
+                lo, hi = llo if q1 < llo else lo, lhi if q3 > lhi else hi
+        return lo, hi
+
+    known = {}
+    out = []
+    for doc_id, lang, source, failed, x in measured:
+        if not failed and (lang, source) not in known:
+            known[lang, source] = {m: fence(lang, source, m) for m in quality.MEASURES}
+        out.append((doc_id, not failed and all(known[lang, source][m][0] <= x[m] <= known[lang, source][m][1] for m in x)))
+    return sorted(out, key=str)
+
+
+def text_of(rng, n, junk=0.0):
+    """Words in lines, with marks, long words or repeated lines in a share of documents."""
+    words = [f"{'abcdefghij'[rng.randrange(10)] * rng.randint(1, 3)}{rng.randrange(10**4)}" for _ in range(n)]
+    lines = [" ".join(words[i : i + 9]) for i in range(0, n, 9)]
+    if rng.random() < junk:
+        kind = rng.randrange(3)
+        lines = [x.replace(" ", " | ") for x in lines] if kind == 0 else [x.replace(" ", "xyzzy" * 3, 4) for x in lines] if kind == 1 else lines[:4] * 2 + lines
+    return "\n".join(lines)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+@pytest.mark.parametrize("small", [199, 200])
+def test_kept_against_brute_force(spark, small):
+    """Sources around MIN_GROUP, a small language, a source of junk and one whose use of marks differs."""
+    rng, rows = random.Random(small), []
+
+    def add(n, lang, source, junk=0.05):
+        rows.extend((len(rows) + i, text_of(rng, rng.randint(40, 120), junk), lang, source) for i in range(n))
+
+    add(500, "en", "a")
+    add(small + 12, "en", "b", 0.2)
+    add(60, "fr", "a", 0.3)
+    add(30, None, None)
+    rows += [(9000 + i, text_of(rng, 90).replace(" ", " # "), "en", "tables") for i in range(small)]
+    rows += [(None, None, "en", "a"), (9999, "", "en", "a"), (9998, rows[0][1] * 300, "en", "a"), rows[5], rows[5]]
+    got = quality.judge(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "kept")
+    assert sorted(map(tuple, got.collect()), key=str) == brute_kept(rows)
+
+
+@pytest.mark.parametrize("share", [0.15, 0.3])
+def test_source_of_junk(spark, share):
+    """A source with much junk is held to its language: junk goes, the rest stays."""
+    rng = random.Random(1)
+    good = lambda: text_of(rng, rng.randint(60, 120))
+    rows = [(i, good(), "en", f"s{i % 4}") for i in range(1600)]
+    rows += [(5000 + i, good().replace(" ", " $ ") if i < 400 * share else good(), "en", "bad") for i in range(400)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(got[5000 + i] for i in range(int(400 * share)))
+    assert sum(not v for v in got.values()) == int(400 * share)
 
 
 def test_empty(no_docs):
     assert quality.judge(no_docs.select("doc_id", "text", "lang", "source")).count() == 0
+
+
+def test_labelled_documents(spark):
+    """Nearly all documents of good quality that pass the base rules stay, and those of bad quality go."""
+    sf = "/root/testdata/sf0.01"
+    out = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("NOT base_failed")
+    n = {(r.quality, r.kept): r["count"] for r in out.groupBy("quality", "kept").count().collect()}
+    assert n[1, True] >= 0.99 * (n[1, True] + n.get((1, False), 0))
+    assert n.get((0, True), 0) <= 0.05 * n[0, False]
