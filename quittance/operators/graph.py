@@ -1,38 +1,34 @@
-"""Connected components by min-label propagation over stored tables."""
+"""Connected components over stored tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quittance.sources.stored import stored
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back, which cuts the lineage."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
+    """(node, component): the smallest node that each node of edges (a, b) reaches.
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component) of edges (a, b); component is the least node that is reached."""
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    Alternates large-star and small-star rounds until the edge set stays the same. Each round is
+    two aggregations and joins on narrow rows and ends in a stored table, so nothing is collected
+    and a hub only costs its own edges, which skew-join handling can split.
+    """
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
+    seen = None
     for _ in range(max_rounds):
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        nxt = label.join(near, "node").select("node", F.least("component", "near").alias("new"), "component")
-        jump = nxt.select(F.col("node").alias("component"), F.col("new").alias("far"))
-        nxt = saved(
-            nxt.join(jump.withColumnRenamed("component", "new"), "new", "left").select(
-                "node", F.least("new", F.coalesce("far", "new")).alias("component"), (F.least("new", F.coalesce("far", "new")) != F.col("component")).alias("moved")
-            ),
-            "labels",
-        )
-        label = nxt.select("node", "component")
-        if not nxt.where("moved").limit(1).count():
-            return label
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        root = large.groupBy("u").agg(F.min("v").alias("m"))
+        hooked = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = stored(hooked.unionByName(root.withColumnRenamed("m", "v")).distinct(), name)
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == seen:
+            break
+        seen = mark
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

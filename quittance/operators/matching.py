@@ -1,24 +1,32 @@
 """Matching of payments with settlements and bank credits, statuses, confidence and orphans.
 
-Exact steps are equi joins on aggregated sides. The fuzzy step makes candidates with a time-bucket
-equi join and an amount band, only for settlements without a credit under their reference. A credit
-that has one claimant is settled by the join alone; contested ones are replayed in payment order,
-one connected component of claims at a time.
+Exact steps are equi joins on aggregated sides. The fuzzy step makes candidates with an equi join by
+time bucket and amount cell, only for settlements without a credit under their reference. Credits go
+to payments in the order of the payments. That order is kept in rounds of joins: a payment is decided
+once it comes first at all credits that are open to it, or at two of them, and all such payments are
+decided at a time. What ROUNDS rounds leave is replayed one connected component of claims at a time.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quittance.operators.graph import components, saved
+from quittance.operators.graph import connected_components
+from quittance.sources.stored import stored
 
 #: Fixed values of the matching rules: minor units, seconds.
 TOLERANCE = 100
 HOUR, DAY = 3600, 86400
 DELAY_S, PENDING_S, MISSING_S = 24 * HOUR, 3 * DAY, 2 * DAY
 FUZZY_BEFORE_S, FUZZY_AFTER_S = HOUR, 72 * HOUR
+#: Credits near in amount lie in the same or the next cells: of 200 up to FINE, then by a factor of 1.02.
+FINE, CELL, STEP = 10_000, 200, 1.02
+ROUNDS = 8
 LIVE_CHARGEBACKS = ("open", "under_review", "accepted")
 
 
@@ -47,44 +55,77 @@ def settlement_rollup(settlements: DataFrame) -> DataFrame:
 def bank_by_utr(bank: DataFrame) -> DataFrame:
     """The last credit of each reference."""
     credit = bank.where("type = 'CREDIT' AND utr IS NOT NULL")
-    return credit.groupBy("utr").agg(F.max_by(F.struct("txn_id", "amount", "txn_s"), "seq").alias("hit"))
+    return credit.groupBy("utr").agg(F.max_by(F.struct("txn_id", "amount", "txn_s", "narration"), "seq").alias("hit"))
+
+
+def order_amounts(orders: DataFrame) -> DataFrame:
+    """The amount of the last row of each order."""
+    return orders.groupBy("order_id").agg(F.max_by("amount", "seq").alias("order_amount"))
+
+
+def amount_cell(x: Column) -> Column:
+    """A cell that grows with the amount, so that a band of 1 % or of 100 lies in few cells."""
+    fine, coarse = F.floor(x / CELL), FINE // CELL + F.floor(F.log(x / FINE) / math.log(STEP))
+    return F.when(x < FINE, fine).otherwise(coarse).cast("int")
 
 
 def fuzzy_candidates(unmatched: DataFrame, bank: DataFrame) -> DataFrame:
     """Candidates of unmatched (seq, payment_id, amount, settled_s): credits near in amount and time.
 
-    The span of 73 hours is a bucket, so each settlement looks into two of them. Without settled_s there is no
-    time to go by; those few meet the credits by a bucket of the amount's logarithm instead.
+    The span of 73 hours is a bucket, so each settlement looks into two of them, and into the cells that the band
+    of its amount touches. Without settled_s there is no time to go by: those few meet the credits by cell alone.
     """
     span = FUZZY_BEFORE_S + FUZZY_AFTER_S
-    credit = bank.where("type = 'CREDIT'").select("txn_id", F.col("amount").alias("credit"), "txn_s")
+    credit = bank.where("type = 'CREDIT'").select(
+        "txn_id", F.col("amount").alias("credit"), "txn_s", F.col("narration").alias("narration"), amount_cell(F.col("amount")).alias("cell")
+    )
     band = F.greatest(F.lit(TOLERANCE), F.floor(F.col("amount") * 0.01 + 0.5).cast("long"))
     near = F.abs(F.col("credit") - F.col("amount")) <= band
+    cells = unmatched.withColumn("cell", F.explode(F.sequence(amount_cell(F.col("amount") - band), amount_cell(F.col("amount") + band))))
     first = F.floor((F.col("settled_s") - FUZZY_BEFORE_S) / span)
-    timed = unmatched.where("settled_s IS NOT NULL").withColumn("bucket", F.explode(F.array(first, first + 1)))
-    by_time = timed.join(credit.withColumn("bucket", F.floor(F.col("txn_s") / span)), "bucket").where(
+    timed = cells.where("settled_s IS NOT NULL").withColumn("bucket", F.explode(F.array(first, first + 1)))
+    by_time = timed.join(credit.withColumn("bucket", F.floor(F.col("txn_s") / span)), ["bucket", "cell"]).where(
         near & (F.col("txn_s") >= F.col("settled_s") - FUZZY_BEFORE_S) & (F.col("txn_s") <= F.col("settled_s") + FUZZY_AFTER_S)
     )
-    magnitude = lambda c: F.floor(F.log2(F.greatest(c, F.lit(1)))).cast("int")
-    low, high = magnitude(F.col("amount") - band), magnitude(F.col("amount") + band)
-    untimed = unmatched.where("settled_s IS NULL").withColumn("bucket", F.explode(F.sequence(low, high)))
-    by_size = untimed.join(credit.withColumn("bucket", magnitude(F.col("credit"))), "bucket").where(near)
-    return by_time.unionByName(by_size).select("seq", "payment_id", "amount", "txn_id", "credit", "txn_s")
-
-
-def resolve(candidates: DataFrame) -> DataFrame:
-    """(seq, n, txn_id, credit, txn_s): how many credits a payment finds when its turn comes, and the one if it is one."""
-    n_of = Window.partitionBy("txn_id")
-    claims = saved(candidates.withColumn("claimants", F.count("*").over(n_of)), "claims")
-    contested = claims.groupBy("seq").agg(F.max("claimants").alias("most"))
-    free = claims.join(contested.where("most = 1"), "seq")
-    one = free.groupBy("seq").agg(F.count("*").cast("int").alias("n"), F.min_by(F.struct("txn_id", "credit", "txn_s"), "txn_id").alias("c"))
-    one = one.select("seq", "n", *(F.when(F.col("n") == 1, F.col(f"c.{x}")).alias(x) for x in ("txn_id", "credit", "txn_s")))
-    fought = claims.join(contested.where("most > 1"), "seq").drop("most", "claimants")
-    if not fought.limit(1).count():
-        return one
-    parts = components(fought.select(F.concat(F.lit("p"), F.lpad(F.col("seq").cast("string"), 20, "0")).alias("a"), F.concat(F.lit("t"), "txn_id").alias("b")))
-    keyed = fought.withColumn("node", F.concat(F.lit("t"), "txn_id")).join(parts, "node").select("component", "seq", "txn_id", "credit", "txn_s")
+    by_size = cells.where("settled_s IS NULL").join(credit, "cell").where(near)
+    names = ["seq", "payment_id", "amount", "txn_id", "credit", "txn_s", "narration"]
+    return by_time.select(*names).unionByName(by_size.select(*names))
+
+
+FOUND = ("txn_id", "credit", "txn_s", "narration")
+
+
+def resolve(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(seq, n, txn_id, credit, txn_s, narration): whether a payment finds no credit, one or more when its turn comes, and the one if it is one.
+
+    n is 2 for two or more: those take nothing.
+    """
+    open_ = stored(candidates.select("seq", *FOUND), "claims")
+    out = []
+    for _ in range(rounds):
+        if open_.isEmpty():
+            break
+        first = F.row_number().over(Window.partitionBy("txn_id").orderBy("seq")) == 1
+        turns = open_.withColumn("first", first).groupBy("seq").agg(F.count("*").alias("n"), F.count_if("first").alias("sure"), F.min_by(F.struct(*FOUND), "txn_id").alias("c"))
+        # of its open credits only those can go before its turn at which another comes first
+        ready = turns.where("sure = n OR sure >= 2")
+        now = stored(ready.select("seq", F.least("n", F.lit(2)).cast("int").alias("n"), *(F.when(F.col("n") == 1, F.col(f"c.{x}")).alias(x) for x in FOUND)), "decided")
+        rest = open_.join(now.select("seq"), "seq", "left_anti")
+        left = stored(rest.join(now.where("n = 1").select("txn_id"), "txn_id", "left_anti").select("seq", *FOUND), "claims")
+        none = rest.select("seq").distinct().join(left.select("seq"), "seq", "left_anti")
+        out += [now, none.select("seq", F.lit(0).alias("n"), *(F.lit(None).cast(t).alias(x) for x, t in zip(FOUND, ("string", "long", "long", "string"), strict=True)))]
+        open_ = left
+    if rounds == 0 or not open_.isEmpty():
+        out.append(_replayed(open_))
+    if not out:
+        return open_.select("seq", F.lit(0).alias("n"), *FOUND)
+    return reduce(DataFrame.unionByName, out)
+
+
+def _replayed(claims: DataFrame) -> DataFrame:
+    """resolve() of claims that depend on each other in long chains: each connected component in the order of its payments."""
+    parts = connected_components(claims.select(F.concat(F.lit("p"), F.lpad(F.col("seq").cast("string"), 20, "0")).alias("a"), F.concat(F.lit("t"), "txn_id").alias("b")))
+    keyed = claims.withColumn("node", F.concat(F.lit("t"), "txn_id")).join(parts, "node").select("component", "seq", *FOUND)
 
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
@@ -92,12 +133,12 @@ def resolve(candidates: DataFrame) -> DataFrame:
             left = mine[~mine.txn_id.isin(taken)]
             if len(left) == 1:
                 taken.add(left.txn_id.iloc[0])
-                out.append((seq, 1, left.txn_id.iloc[0], left.credit.iloc[0], left.txn_s.iloc[0]))
+                out.append((seq, 1, *left[list(FOUND)].iloc[0]))
             else:
-                out.append((seq, len(left), None, None, None))
-        return pd.DataFrame(out, columns=["seq", "n", "txn_id", "credit", "txn_s"]).astype({"credit": "Int64", "txn_s": "Int64"})
+                out.append((seq, min(len(left), 2), None, None, None, None))
+        return pd.DataFrame(out, columns=["seq", "n", *FOUND]).astype({"credit": "Int64", "txn_s": "Int64"})
 
-    return one.unionByName(keyed.groupBy("component").applyInPandas(replay, "seq long, n int, txn_id string, credit long, txn_s long"))
+    return keyed.groupBy("component").applyInPandas(replay, "seq long, n int, txn_id string, credit long, txn_s long, narration string")
 
 
 def penalty(delta: Column) -> Column:
@@ -113,9 +154,10 @@ def confidence(utr, ids, amount, date, narration, single, multiple, no_bank, no_
     return F.greatest(F.lit(0), F.least(F.lit(100), score))
 
 
-def match(payments: DataFrame, settlements: DataFrame, bank: DataFrame, refunds: DataFrame, chargebacks: DataFrame) -> DataFrame:
-    """A result row for each captured payment."""
+def match(payments: DataFrame, settlements: DataFrame, bank: DataFrame, refunds: DataFrame, chargebacks: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    """A result row for each captured payment; without its order, a payment's own amount counts as the order's."""
     captured = payments.where("status = 'captured'")
+    captured = captured.join(order_amounts(orders), "order_id", "left") if orders is not None else captured.withColumn("order_amount", F.lit(None).cast("long"))
     base = (
         captured.join(settlement_rollup(settlements), "payment_id", "left")
         .join(refund_rollup(refunds), "payment_id", "left")
@@ -127,12 +169,12 @@ def match(payments: DataFrame, settlements: DataFrame, bank: DataFrame, refunds:
         .withColumn("settled_s", F.when(F.col("single"), F.col("one.settled_s")))
         .join(bank_by_utr(bank), "utr", "left")
     )
-    base = saved(base.crossJoin(payments.agg(F.max("captured_s").alias("clock"))), "matching")  # one row: the batch's clock
+    base = stored(base.crossJoin(payments.agg(F.max("captured_s").alias("clock"))), "matching")  # one row: the batch's clock
     # a credit that an earlier payment takes by its reference isn't a candidate of a later one
     used = base.where("hit IS NOT NULL").groupBy(F.col("hit.txn_id").alias("txn_id")).agg(F.min("seq").alias("used_by"))
     open_ = base.where("single AND hit IS NULL").select("seq", "payment_id", F.col("settled_amount").alias("amount"), "settled_s")
     claims = fuzzy_candidates(open_, bank).join(used, "txn_id", "left").where("used_by IS NULL OR used_by > seq").drop("used_by")
-    found = resolve(claims).select("seq", F.col("n").alias("n_fuzzy"), F.struct("txn_id", F.col("credit").alias("amount"), "txn_s").alias("near"))
+    found = resolve(claims).select("seq", F.col("n").alias("n_fuzzy"), F.struct("txn_id", F.col("credit").alias("amount"), "txn_s", "narration").alias("near"))
     r = base.join(found, "seq", "left").withColumn("n_fuzzy", F.coalesce("n_fuzzy", F.lit(0)))
 
     exact, fuzzy, many = F.col("hit").isNotNull(), F.col("n_fuzzy") == 1, F.col("n_fuzzy") > 1
@@ -168,14 +210,15 @@ def match(payments: DataFrame, settlements: DataFrame, bank: DataFrame, refunds:
     )
     none, one, more = F.col("n_settlements") == 0, F.col("single"), F.col("n_settlements") > 1
     dated = F.coalesce(F.abs(F.col("bank_txn.txn_s") - F.col("settled_s")) < DELAY_S, F.lit(False))
+    told = F.coalesce(F.contains(F.col("bank_txn.narration"), F.col("one.settlement_id")), F.lit(False))
     score = confidence(
-        one & exact, F.lit(True), one & (F.col("delta") <= TOLERANCE), (none & pending) | (one & dated), F.lit(False), none | one,
+        one & exact, F.lit(True), one & (F.col("delta") <= TOLERANCE), (none & pending) | (one & dated), one & told, none | one,
         more | (one & many), none | (one & F.col("bank_txn").isNull()), none, F.col("delta"), ~none & ~more & (F.col("refund_amount") > 0), ~none & ~more & (F.col("chargeback_amount") > 0),
     )
     r = r.withColumn("first_status", status).withColumn("match_method", method).withColumn("score", score)
     mismatch = F.when(one & off, F.col("delta")).when(one & bank_off, F.abs(F.col("bank_txn.amount") - F.col("settled_amount")))
     return r.select(
-        "seq", "payment_id", "order_id", "method", "class", F.col("amount").alias("payment_amount"), "fee", "tax", "refund_amount", "chargeback_amount",
+        "seq", "payment_id", "order_id", "method", "class", F.col("amount").alias("payment_amount"), F.coalesce("order_amount", "amount").alias("order_amount"), "fee", "tax", "refund_amount", "chargeback_amount",
         F.col("net").alias("expected_net"), F.when(~none, F.col("settled_amount")).alias("settled_amount"), F.col("bank_txn.amount").alias("bank_amount"),
         F.col("bank_txn.txn_id").alias("bank_txn_id"), F.col("settlement_ids"), mismatch.alias("mismatch"),
         F.when(one & (F.col("first_status") == "AUTO_MATCHED") & (F.col("score") < 50), "NEEDS_MANUAL_REVIEW").otherwise(F.col("first_status")).alias("status"),

@@ -62,9 +62,8 @@ def calibration(pairs: DataFrame) -> DataFrame:
 
 def calibration_error(pairs: DataFrame) -> DataFrame:
     """Expected calibration error over the buckets and Brier score."""
-    hit = (F.col("status") == F.col("truth")).cast("int")
-    per = pairs.groupBy(bucket(F.col("score")).alias("b")).agg(F.count("*").alias("n"), F.sum(hit).alias("ok"), F.sum("score").alias("s"), F.sum(F.pow(F.col("score") / 100 - hit, F.lit(2))).alias("sq"))
+    ok = F.col("status") == F.col("truth")
+    miss = F.col("score") - F.when(ok, 100).otherwise(0)  # whole points, so that sums don't depend on their order
+    per = pairs.groupBy(bucket(F.col("score")).alias("b")).agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.sum("score").alias("s"), F.sum((miss * miss).cast("long")).alias("sq"))
     total = F.sum("n")
-    return per.agg(
-        F.round(F.sum(F.abs(F.col("ok") - F.col("s") / 100)) / total, 6).alias("ece"), F.round(F.sum("sq") / total, 6).alias("brier"), total.alias("n")
-    )
+    return per.agg((F.sum(F.abs(100 * F.col("ok") - F.col("s"))) / (100 * total)).alias("ece"), (F.sum("sq") / (10000 * total)).alias("brier"), total.alias("n"))

@@ -9,6 +9,7 @@ from quittance.functions import currency
 from quittance.operators import entities, integrity, matching, metrics, risk
 from quittance.plans.oracle import RESULT_SQL
 from quittance.sources import fixtures
+from quittance.sources.stored import once
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,8 +26,10 @@ def query(sql: str | None = None, results: bool = True):
 
 
 def results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The results of the batch, matched once in an application and then read."""
     b = fixtures.batch(spark, sf_dir)
-    return matching.match(b["payments"], b["settlements"], b["bank"], b["refunds"], b["chargebacks"]), b
+    match = lambda: matching.match(b["payments"], b["settlements"], b["bank"], b["refunds"], b["chargebacks"], b["orders"])
+    return once(spark, "results", sf_dir, match), b
 
 
 def truths(pay: DataFrame) -> DataFrame:
@@ -47,7 +50,7 @@ def match_status_summary(spark, sf_dir):
     return results(spark, sf_dir)[0].groupBy("status").agg(F.count("*").alias("n"), F.sum("payment_amount").alias("amount"))
 
 
-CORE = ["payment_id", "order_id", "payment_amount", "fee", "tax", "expected_net", "settled_amount", "bank_amount", "bank_txn_id", "mismatch", "status", "score", "match_method"]
+CORE = ["payment_id", "order_id", "order_amount", "payment_amount", "fee", "tax", "expected_net", "settled_amount", "bank_amount", "bank_txn_id", "mismatch", "status", "score", "match_method"]
 
 
 @query(f"SELECT {', '.join(CORE)} FROM r")
@@ -55,12 +58,12 @@ def match_results_core(spark, sf_dir):
     return results(spark, sf_dir)[0].select(*CORE)
 
 
-@query("SELECT payment_id, CAST(sum(amount) AS BIGINT) AS refund_amount, string_agg(refund_id, ',' ORDER BY refund_id) AS refund_ids FROM refunds GROUP BY 1")
+@query("SELECT payment_id, CAST(sum(amount) AS BIGINT) AS refund_amount, string_agg(refund_id, ',' ORDER BY refund_id) AS refund_ids FROM refunds WHERE status = 'processed' GROUP BY 1")
 def refund_rollup(spark, sf_dir):
     return matching.refund_rollup(fixtures.batch(spark, sf_dir)["refunds"]).withColumn("refund_ids", F.array_join("refund_ids", ","))
 
 
-@query("SELECT payment_id, CAST(sum(amount) AS BIGINT) AS chargeback_amount, string_agg(chargeback_id, ',' ORDER BY chargeback_id) AS chargeback_ids FROM chargebacks GROUP BY 1")
+@query("SELECT payment_id, CAST(sum(amount) AS BIGINT) AS chargeback_amount, string_agg(chargeback_id, ',' ORDER BY chargeback_id) AS chargeback_ids FROM chargebacks WHERE status IN ('open', 'under_review', 'accepted') GROUP BY 1")
 def chargeback_rollup(spark, sf_dir):
     return matching.chargeback_rollup(fixtures.batch(spark, sf_dir)["chargebacks"]).withColumn("chargeback_ids", F.array_join("chargeback_ids", ","))
 
@@ -95,8 +98,8 @@ def fuzzy_candidates(spark, sf_dir):
     b = fixtures.batch(spark, sf_dir)
     credited = matching.bank_by_utr(b["bank"]).select("utr")
     single = matching.settlement_rollup(b["settlements"]).where("n_settlements = 1").select("payment_id", F.col("settled_amount").alias("amount"), "one.utr", "one.settled_s")
-    open_ = single.join(credited, "utr", "left_anti").join(b["payments"].select("payment_id", "seq"), "payment_id").drop("utr")
-    return matching.fuzzy_candidates(open_, b["bank"])
+    open_ = single.join(credited, "utr", "left_anti").join(b["payments"].where("status = 'captured'").select("payment_id", "seq"), "payment_id").drop("utr")
+    return matching.fuzzy_candidates(open_, b["bank"]).drop("narration")
 
 
 @query("SELECT score, match_method, count(*) AS n FROM r GROUP BY 1, 2")
@@ -112,9 +115,9 @@ def calibration_buckets(spark, sf_dir):
     return metrics.calibration(pairs(spark, sf_dir))
 
 
-@query(f"""SELECT round(sum(abs(ok - s / 100)) / sum(n), 6) AS ece, round(sum(sq) / sum(n), 6) AS brier, CAST(sum(n) AS BIGINT) AS n FROM (
-  SELECT {BUCKET_SQL} AS b, count(*) AS n, sum(CASE WHEN status = truth THEN 1.0::DOUBLE ELSE 0 END) AS ok, sum(score)::DOUBLE AS s,
-         sum(pow(score / 100.0::DOUBLE - CASE WHEN status = truth THEN 1 ELSE 0 END, 2)) AS sq FROM pairs GROUP BY 1)""")
+@query(f"""SELECT CAST(sum(abs(100 * ok - s)) AS DOUBLE) / (100 * sum(n)) AS ece, CAST(sum(sq) AS DOUBLE) / (10000 * sum(n)) AS brier, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT {BUCKET_SQL} AS b, count(*) AS n, count(*) FILTER (status = truth) AS ok, sum(score) AS s,
+         sum((score - CASE WHEN status = truth THEN 100 ELSE 0 END) * (score - CASE WHEN status = truth THEN 100 ELSE 0 END)) AS sq FROM pairs GROUP BY 1)""")
 def ece_brier(spark, sf_dir):
     return metrics.calibration_error(pairs(spark, sf_dir))
 
@@ -249,12 +252,13 @@ def currency_breakdown(spark, sf_dir):
 
 @query(""", s AS (SELECT CAST((SELECT sum(amount - fee - tax) FROM pay) - (SELECT coalesce(sum(amount), 0) FROM refunds) - (SELECT coalesce(sum(amount), 0) FROM chargebacks) AS BIGINT) AS due,
   CAST((SELECT coalesce(sum(amount), 0) FROM chargebacks) AS BIGINT) AS cb, CAST((SELECT sum(expected_net) FROM r) AS BIGINT) AS net,
-  CAST((SELECT coalesce(sum(amount), 0) FROM orphans) AS BIGINT) AS loose, CAST((SELECT coalesce(sum(amount), 0) FROM bank WHERE type = 'DEBIT') AS BIGINT) AS debit)
-SELECT 'INPUT_COMPLETE' AS name, 0::BIGINT AS actual, 0::BIGINT AS expected, true AS holds
+  CAST((SELECT coalesce(sum(amount), 0) FROM bank WHERE type = 'CREDIT' AND txn_id NOT IN (SELECT bank_txn_id FROM r WHERE bank_txn_id IS NOT NULL) AND utr NOT IN (SELECT utr FROM setl WHERE utr IS NOT NULL)) AS BIGINT) AS loose, CAST((SELECT coalesce(sum(amount), 0) FROM bank WHERE type = 'DEBIT') AS BIGINT) AS debit)
+SELECT 'INPUT_COMPLETE' AS name, actual, 0::BIGINT AS expected, actual = 0 AS holds FROM (SELECT count(*) AS actual FROM pay WHERE payment_id NOT IN (SELECT payment_id FROM r))
 UNION ALL SELECT 'NET_CONSERVED', net, due, abs(net - due) <= greatest(100, CAST(floor(abs(due) * 0.001 + 0.5) AS BIGINT)) FROM s
 UNION ALL SELECT 'CREDITS_EXPLAINED', loose, 0, loose <= 100 FROM s
 UNION ALL SELECT 'DEBITS_EXPLAINED', debit, cb, abs(debit - cb) <= greatest(100, CAST(floor(abs(cb) * 0.001 + 0.5) AS BIGINT)) FROM s
-UNION ALL SELECT 'CONSUMED_ONCE', 0, 0, true UNION ALL SELECT 'SETTLEMENTS_REFERENCED', 0, 0, true""")
+UNION ALL SELECT 'CONSUMED_ONCE', n, 0, n = 0 FROM (SELECT count(*) AS n FROM (SELECT bank_txn_id FROM r WHERE bank_txn_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1))
+UNION ALL SELECT 'SETTLEMENTS_REFERENCED', n, 0, n = 0 FROM (SELECT count(*) AS n FROM setl WHERE payment_id NOT IN (SELECT payment_id FROM r))""")
 def invariant_checks(spark, sf_dir):
     r, b = results(spark, sf_dir)
     return integrity.invariants(b["payments"], r, b["settlements"], b["bank"], b["refunds"], b["chargebacks"])

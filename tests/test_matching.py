@@ -61,8 +61,10 @@ def replay(pay, setl, bank):
     return out
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_contested_credits(spark, seed):
+@pytest.mark.parametrize("seed, rounds", [(0, 0), (0, 8), (1, 1), (1, 8)])
+def test_contested_credits(spark, monkeypatch, seed, rounds):
+    """Decided in rounds, in one round and then by component, and by component alone."""
+    monkeypatch.setattr(matching.resolve, "__defaults__", (rounds,))
     rng = random.Random(seed)
     pay, setl, bank = [], [], []
     for i in range(160):
@@ -71,11 +73,11 @@ def test_contested_credits(spark, seed):
         for j in range(rng.choice([0, 1, 1, 1, 1, 1, 2])):
             setl.append({"seq": 2 * i + j, "settlement_id": f"s{i}_{j}", "payment_id": f"pay_{i:03}", "amount": amount + rng.choice([0, 0, 50, 500]), "utr": rng.choice([None, f"U{i}", f"V{i}"]), "settled_s": rng.choice([t, t, t + DAY, None]), "class": 0})
     for i in range(120):
-        bank.append({"seq": i, "txn_id": f"t{i:03}", "utr": rng.choice([None, f"U{rng.randrange(160)}"]), "amount": rng.choice([10_000, 10_080, 250_000, 252_000]), "type": rng.choice(["CREDIT"] * 5 + ["DEBIT"]), "txn_s": rng.randrange(480) * 5 * HOUR})
+        bank.append({"seq": i, "txn_id": f"t{i:03}", "utr": rng.choice([None, f"U{rng.randrange(160)}"]), "amount": rng.choice([10_000, 10_080, 250_000, 252_000]), "type": rng.choice(["CREDIT"] * 5 + ["DEBIT"]), "txn_s": rng.randrange(480) * 5 * HOUR, "narration": None})
     frame = lambda rows, schema: spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
     p = frame(pay, "seq long, payment_id string, order_id string, amount long, fee long, tax long, method string, status string, captured_s long, class int")
     s = frame(setl, "seq long, settlement_id string, payment_id string, amount long, utr string, settled_s long, class int")
-    b = frame(bank, "seq long, txn_id string, utr string, amount long, type string, txn_s long")
+    b = frame(bank, "seq long, txn_id string, utr string, amount long, type string, txn_s long, narration string")
     none_r = spark.createDataFrame([], "seq long, refund_id string, payment_id string, amount long, status string")
     none_c = spark.createDataFrame([], "seq long, chargeback_id string, payment_id string, amount long, status string")
     r = matching.match(p, s, b, none_r, none_c)
@@ -85,9 +87,21 @@ def test_contested_credits(spark, seed):
     assert sum(t is not None for _, t in got.values()) > 20
 
 
+def test_one_component_of_claims(spark):
+    """A batch whose claims all hang together, with chains that many rounds long."""
+    rows = [(i, f"t{j:03}", 100, 0, None) for i in range(60) for j in (i, i + 1)] + [(100 + i, f"t{j:03}", 100, 0, None) for i in range(30) for j in range(25)]
+    got = {r.seq: (r.n, r.txn_id) for r in matching.resolve(spark.createDataFrame(rows, "seq long, txn_id string, credit long, txn_s long, narration string")).collect()}
+    taken, want = set(), {}
+    for seq in sorted({r[0] for r in rows}):
+        left = sorted({r[1] for r in rows if r[0] == seq} - taken)
+        want[seq] = (min(len(left), 2), left[0] if len(left) == 1 else None)
+        taken |= {left[0]} if len(left) == 1 else set()
+    assert got == want
+
+
 def test_components(spark):
     edges = [(f"n{i}", f"n{i + 1}") for i in range(30)] + [("x1", "x2"), ("x2", "x1")]
-    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    got = {r.node: r.component for r in graph.connected_components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert {got[f"n{i}"] for i in range(31)} == {"n0"} and got["x1"] == got["x2"] == "x1"
 
 
