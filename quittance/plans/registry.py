@@ -7,24 +7,10 @@ from pyspark.sql import functions as F
 
 from quittance.functions import currency
 from quittance.operators import entities, integrity, matching, metrics, risk
-from quittance.plans.oracle import RESULT_SQL
+from quittance.plans.base import ORACLE_SQL, QUERIES, query
 from quittance.sources import fixtures
 from quittance.sources.stored import once
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, results: bool = True):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = (RESULT_SQL + sql) if results else sql
-        return f
-
-    return add
-
-
 def results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The results of the batch, matched once in an application and then read."""
     b = fixtures.batch(spark, sf_dir)
@@ -338,3 +324,6 @@ def audit_chain_verify(spark, sf_dir):
     linked = e.withColumn("prev_hash", F.coalesce(F.lag("hash").over(Window.partitionBy("user_id").orderBy("seq")), F.lit("GENESIS")))
     spoiled = linked.withColumn("prev_hash", F.when(F.col("event_id") % 97 == 0, "tampered").otherwise(F.col("prev_hash")))
     return integrity.chain_breaks(spoiled, "user_id").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("broken").alias("n_broken"))
+
+
+from quittance.plans import ingest as _ingest  # noqa: E402, F401
