@@ -31,3 +31,12 @@ def to_inr(df: DataFrame, amount: str, currency: str = "currency") -> DataFrame:
     value = F.floor(wide * F.col("num") / F.col("den")).cast("long")
     known = F.when(F.col("fx_currency").isNull(), F.raise_error(F.concat(F.lit("unknown currency "), F.coalesce(F.col(currency), F.lit("null"))))).otherwise(value)
     return joined.withColumn("inr_minor", known).drop("num", "den", "fx_currency")
+
+
+def from_inr(df: DataFrame, amount: str, currency: str = "currency") -> DataFrame:
+    """df with foreign_minor, rounded down. An unknown currency is an error."""
+    r = rates(df.sparkSession).withColumnRenamed("currency", "fx_currency")
+    joined = df.join(F.broadcast(r), F.col(currency) == F.col("fx_currency"), "left")
+    value = F.expr(f"greatest(`{amount}`, 0L) * den div num")
+    known = F.when(F.col("fx_currency").isNull(), F.raise_error(F.concat(F.lit("unknown currency "), F.coalesce(F.col(currency), F.lit("null"))))).otherwise(value)
+    return joined.withColumn("foreign_minor", known).drop("num", "den", "fx_currency")

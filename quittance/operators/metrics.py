@@ -67,3 +67,13 @@ def calibration_error(pairs: DataFrame) -> DataFrame:
     per = pairs.groupBy(bucket(F.col("score")).alias("b")).agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.sum("score").alias("s"), F.sum((miss * miss).cast("long")).alias("sq"))
     total = F.sum("n")
     return per.agg((F.sum(F.abs(100 * F.col("ok") - F.col("s"))) / (100 * total)).alias("ece"), (F.sum("sq") / (10000 * total)).alias("brier"), total.alias("n"))
+
+
+def accuracy(pairs: DataFrame, orphans: DataFrame, truths: DataFrame) -> DataFrame:
+    """(correct, evaluated) of results against labels; orphans count as right up to the number of labelled ones, if there are any of both."""
+    own = pairs.agg(F.count("*").alias("n"), F.count_if(F.col("status") == F.col("truth")).alias("ok"))
+    found = orphans.agg(F.count("*").alias("found"))
+    labelled_ = truths.agg(F.count_if(F.col("expected_label") == "ORPHAN_BANK_CREDIT").alias("labelled"))
+    both = (F.col("found") > 0) & (F.col("labelled") > 0)
+    extra = lambda c: F.when(both, c).otherwise(0)
+    return own.crossJoin(found).crossJoin(labelled_).select((F.col("ok") + extra(F.least("found", "labelled"))).alias("correct"), (F.col("n") + extra(F.col("labelled"))).alias("evaluated"))  # one row each
