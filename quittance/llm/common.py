@@ -1,42 +1,16 @@
-"""Shared folder, stored tables and connected components."""
+"""Words of texts; the shared folder, stored tables and connected components are those of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quittance.operators.graph import connected_components  # noqa: F401
+from quittance.sources.stored import new_path, shared_dir, stored  # noqa: F401
+
 #: ASCII white space, which parts words.
 SPACE = r"[\x20\x09-\x0D]+"
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
-
-    Only where it is unset (local tests) a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="quittance-"))
-    return _own_dir[0]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; lower() alone would also change other letters."""
@@ -47,32 +21,3 @@ def ascii_lower(c: Column) -> Column:
 
 def spaced_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
-
-
-def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each node of edges (a, b) reaches.
-
-    Alternates large-star and small-star rounds until the edge set stays the same. Each round is
-    two aggregations and joins on narrow rows and ends in a stored table, so nothing is collected
-    and a hub only costs its own edges, which skew-join handling can split.
-    """
-    spark = edges.sparkSession
-    now = stored(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
-    )
-    seen = None
-    for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        root = large.groupBy("u").agg(F.min("v").alias("m"))
-        hooked = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(hooked.unionByName(root.withColumnRenamed("m", "v")).distinct(), name)
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
