@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quittance.operators.graph import connected_components  # noqa: F401
-from quittance.sources.stored import new_path, shared_dir, stored  # noqa: F401
+from quittance.sources.stored import new_path, remove, shared_dir, stored  # noqa: F401
 
 #: ASCII white space, which parts words.
 SPACE = r"[\x20\x09-\x0D]+"

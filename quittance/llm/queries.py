@@ -1,5 +1,6 @@
 """The queries of this folder and the SQL that they are held against."""
 
+from quittance.llm.clustering import OP11_SQL, op11_centroid_clustering
 from quittance.llm.decontam import OP1_SQL, op1_benchmark_decontamination
 from quittance.llm.language import op9_language_id
 from quittance.llm.mixing import OP2_SQL, op2_source_mixing
@@ -22,8 +23,10 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_benchmark_decontamination": OP1_SQL,
     "op2_source_mixing": OP2_SQL,
+    "op11_centroid_clustering": OP11_SQL,
 }
