@@ -53,7 +53,7 @@ def seeds(whole: DataFrame, clusters: int, salt: str) -> np.ndarray:
     """The vectors with the smallest digests of salt and vec_id, null ids last."""
     digest = F.sha2(F.concat(F.lit(salt), F.col("vec_id").cast("string")), 256)
     first = whole.select("q", digest.alias("digest")).orderBy(F.asc_nulls_last("digest"), "q").limit(clusters).collect()
-    return np.array([r.q for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r.q for r in first], np.int64)
 
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
