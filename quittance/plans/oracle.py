@@ -57,7 +57,7 @@ m2 AS (
       - CASE WHEN delta = 0 THEN 0 WHEN delta <= 100 THEN 5 WHEN delta <= 1000 THEN 15 WHEN delta <= 10000 THEN 25 ELSE 40 END
       - CASE WHEN n = 1 AND refund_amount > 0 THEN 3 ELSE 0 END - CASE WHEN n = 1 AND chargeback_amount > 0 THEN 8 ELSE 0 END)) AS score
   FROM m1n),
-r AS (
+r AS MATERIALIZED (
   SELECT seq, payment_id, order_id, method, class, amount AS payment_amount, order_amount, fee, tax, refund_amount, chargeback_amount, net AS expected_net, captured_s,
          settled AS settled_amount, bank_amount, bank_txn_id, settlement_id, nf,
          CASE WHEN n = 1 AND delta > 100 THEN delta WHEN n = 1 AND hit_id IS NOT NULL AND abs(bank_amount - settled) > 100 THEN abs(bank_amount - settled) END AS mismatch,
@@ -84,7 +84,7 @@ d1 AS (
     CASE WHEN status = 'AUTO_MATCHED' THEN 0 ELSE coalesce(nullif(mismatch, 0), abs(expected_net)) END AS at_risk,
     CASE WHEN status = 'AUTO_MATCHED' THEN '' ELSE concat_ws(',', CASE WHEN material THEN 'MATERIAL' END, CASE WHEN low THEN 'LOW_CONFIDENCE' END,
       CASE WHEN provider THEN 'PROVIDER_RISK' END, CASE WHEN unusual THEN 'UNUSUAL_PATTERN' END) END AS trig FROM d0),
-d AS (
+d AS MATERIALIZED (
   SELECT payment_id, status, method, expected_net, score, outcome, own_risk, at_risk,
     CASE WHEN outcome <> 'AUTO_MATCH' AND sum(at_risk) OVER () >= 5000000 THEN 'HIGH' ELSE own_risk END AS risk,
     CASE WHEN outcome <> 'AUTO_MATCH' AND sum(at_risk) OVER () >= 5000000 THEN concat_ws(',', nullif(trig, ''), 'AGGREGATE') ELSE trig END AS triggers FROM d1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quittance.operators import evidence, groups, ledgers, windows
+from quittance.operators import cardinality, evidence, groups, ledgers, windows
 from quittance.plans.base import ORACLE_SQL, query
 from quittance.plans.registry import events, results
 from quittance.plans.review import apart
@@ -248,16 +248,25 @@ def credit_groups(spark, sf_dir):
     return groups.credit_groups(due, line).withColumn("txn_ids", F.array_join("txn_ids", ","))
 
 
-@query(""", g AS (SELECT 'bulk' || seq // 400 AS txn_id, list(settlement_id) AS ids, CAST(sum(settled_amount) AS BIGINT) AS credited FROM r WHERE match_method = 'NO_BANK_MATCH' GROUP BY seq // 400),
-x AS (SELECT unnest(ids) AS settlement_id, txn_id, credited FROM g)
-SELECT payment_id, status, coalesce(x.txn_id, bank_txn_id) AS bank_txn_id, coalesce(x.credited, bank_amount) AS bank_amount, CASE WHEN x.txn_id IS NULL THEN score ELSE greatest(score, 96) END AS score, CASE WHEN x.txn_id IS NOT NULL THEN 'N:1' END AS cardinality
+@query(""", b AS (SELECT seq // 800 AS k, settlement_id, settled_amount FROM r WHERE match_method = 'NO_BANK_MATCH'),
+n AS (SELECT seq // 800 AS k, count(*) * 2 AS n FROM r GROUP BY 1),
+g AS (SELECT k, list(settlement_id) AS ids, CAST(sum(settled_amount) AS BIGINT) AS settled, CAST(sum(settled_amount) + (k % 4) * 40 AS BIGINT) AS credited FROM b GROUP BY 1),
+f AS (SELECT * FROM g JOIN n USING (k) WHERE n.n >= 1000 AND credited - settled <= 100 AND len(ids) >= 2),
+x AS (SELECT unnest(ids) AS settlement_id, 'bulk' || k AS txn_id, credited, CASE WHEN settled = credited THEN 96 ELSE 90 END AS confidence FROM f)
+SELECT payment_id, status, coalesce(x.txn_id, bank_txn_id) AS bank_txn_id, coalesce(x.credited, bank_amount) AS bank_amount, greatest(score, coalesce(x.confidence, 0)) AS score, CASE WHEN x.txn_id IS NOT NULL THEN 'N:1' END AS cardinality
 FROM r LEFT JOIN x ON r.settlement_id = x.settlement_id""")
 def results_with_groups(spark, sf_dir):
-    """Settlements without a credit, paid by one for each 400 payments in a row."""
+    """Settlements without a credit in batches of 800 payments, each with a bulk credit near their sum: the relationships found, and the results with them."""
     r, _ = results(spark, sf_dir)
-    bulk = r.where("match_method = 'NO_BANK_MATCH'").groupBy(F.concat(F.lit("bulk"), F.floor(F.col("seq") / 400)).alias("txn_id")).agg(
-        F.flatten(F.collect_list("settlement_ids")).alias("settlement_ids"), F.sum("settled_amount").alias("credited")
+    k = F.floor(F.col("seq") / 800)
+    open_ = r.where("match_method = 'NO_BANK_MATCH'").select(
+        k.cast("string").alias("batch"), "seq", F.get("settlement_ids", F.lit(0)).alias("settlement_id"), "payment_id", F.col("settled_amount").alias("amount"), F.lit(0).cast("long").alias("settled_s"), F.lit(None).cast("string").alias("utr")
     )
-    own = r.select("payment_id", "status", F.get("settlement_ids", F.lit(0)).alias("settlement_id"), "bank_txn_id", "bank_amount", "score", "match_method")
-    done = groups.apply_groups(own, bulk.withColumn("confidence", F.lit(groups.EXACT)))
-    return done.select("payment_id", "status", "bank_txn_id", "bank_amount", "score", "cardinality")
+    off = F.col("batch").cast("long") % 4 * 40
+    bulk = open_.groupBy("batch").agg(F.sum("amount").alias("amount")).select(
+        "batch", F.lit(0).cast("long").alias("seq"), F.concat(F.lit("bulk"), "batch").alias("txn_id"), (F.col("amount") + off).alias("amount"), F.lit(0).cast("long").alias("txn_s"), F.lit(None).cast("string").alias("utr"), F.lit(True).alias("bulk")
+    )
+    sizes = r.groupBy(k.cast("string").alias("batch")).agg((F.count("*") * 2).alias("n"))
+    own = r.select("payment_id", "status", F.when(F.col("bank_txn_id").isNotNull(), F.array("bank_txn_id")).otherwise(F.array()).alias("txn_ids"), "bank_amount", "score", "match_method")
+    done = cardinality.applied(own, *cardinality.relationships(open_, bulk, sizes), open_)
+    return done.select("payment_id", "status", F.get("txn_ids", F.lit(0)).alias("bank_txn_id"), "bank_amount", "score", "cardinality")

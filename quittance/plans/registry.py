@@ -326,4 +326,4 @@ def audit_chain_verify(spark, sf_dir):
     return integrity.chain_breaks(spoiled, "user_id").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("broken").alias("n_broken"))
 
 
-from quittance.plans import ingest as _ingest, records as _records, review as _review  # noqa: E402, F401
+from quittance.plans import cardinality as _cardinality, ingest as _ingest, records as _records, review as _review  # noqa: E402, F401
