@@ -2,21 +2,18 @@
 
 Exact steps are equi joins on aggregated sides. The fuzzy step makes candidates with an equi join by
 time bucket and amount cell, only for settlements without a credit under their reference. Credits go
-to payments in the order of the payments. That order is kept in rounds of joins: a payment is decided
-once it comes first at all credits that are open to it, or at two of them, and all such payments are
-decided at a time. What ROUNDS rounds leave is replayed one connected component of claims at a time.
+to payments in the order of the payments (turns.py): few claims in one pass, more in rounds of joins, in which
+a payment is decided once it comes first at all credits that are open to it, or at two of them.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quittance.operators.graph import connected_components
+from quittance.operators.turns import in_turns
 from quittance.sources.stored import stored
 
 #: Fixed values of the matching rules: minor units, seconds.
@@ -26,7 +23,6 @@ DELAY_S, PENDING_S, MISSING_S = 24 * HOUR, 3 * DAY, 2 * DAY
 FUZZY_BEFORE_S, FUZZY_AFTER_S = HOUR, 72 * HOUR
 #: Credits near in amount lie in the same or the next cells: of 200 up to FINE, then by a factor of 1.02.
 FINE, CELL, STEP = 10_000, 200, 1.02
-ROUNDS = 8
 LIVE_CHARGEBACKS = ("open", "under_review", "accepted")
 
 
@@ -95,50 +91,37 @@ def fuzzy_candidates(unmatched: DataFrame, bank: DataFrame) -> DataFrame:
 FOUND = ("txn_id", "credit", "txn_s", "narration")
 
 
-def resolve(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+DECIDED = "seq long, n int, txn_id string, credit long, txn_s long, narration string"
+
+
+def resolve(candidates: DataFrame, one_pass: int | None = None) -> DataFrame:
     """(seq, n, txn_id, credit, txn_s, narration): whether a payment finds no credit, one or more when its turn comes, and the one if it is one.
 
     n is 2 for two or more: those take nothing.
     """
-    open_ = stored(candidates.select("seq", *FOUND), "claims")
-    out = []
-    for _ in range(rounds):
-        if open_.isEmpty():
-            break
-        first = F.row_number().over(Window.partitionBy("txn_id").orderBy("seq")) == 1
-        turns = open_.withColumn("first", first).groupBy("seq").agg(F.count("*").alias("n"), F.count_if("first").alias("sure"), F.min_by(F.struct(*FOUND), "txn_id").alias("c"))
-        # of its open credits only those can go before its turn at which another comes first
-        ready = turns.where("sure = n OR sure >= 2")
-        now = stored(ready.select("seq", F.least("n", F.lit(2)).cast("int").alias("n"), *(F.when(F.col("n") == 1, F.col(f"c.{x}")).alias(x) for x in FOUND)), "decided")
-        rest = open_.join(now.select("seq"), "seq", "left_anti")
-        left = stored(rest.join(now.where("n = 1").select("txn_id"), "txn_id", "left_anti").select("seq", *FOUND), "claims")
-        none = rest.select("seq").distinct().join(left.select("seq"), "seq", "left_anti")
-        out += [now, none.select("seq", F.lit(0).alias("n"), *(F.lit(None).cast(t).alias(x) for x, t in zip(FOUND, ("string", "long", "long", "string"), strict=True)))]
-        open_ = left
-    if rounds == 0 or not open_.isEmpty():
-        out.append(_replayed(open_))
-    if not out:
-        return open_.select("seq", F.lit(0).alias("n"), *FOUND)
-    return reduce(DataFrame.unionByName, out)
-
-
-def _replayed(claims: DataFrame) -> DataFrame:
-    """resolve() of claims that depend on each other in long chains: each connected component in the order of its payments."""
-    parts = connected_components(claims.select(F.concat(F.lit("p"), F.lpad(F.col("seq").cast("string"), 20, "0")).alias("a"), F.concat(F.lit("t"), "txn_id").alias("b")))
-    keyed = claims.withColumn("node", F.concat(F.lit("t"), "txn_id")).join(parts, "node").select("component", "seq", *FOUND)
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for seq, mine in rows.sort_values(["seq", "txn_id"]).groupby("seq", sort=True):
-            left = mine[~mine.txn_id.isin(taken)]
-            if len(left) == 1:
-                taken.add(left.txn_id.iloc[0])
-                out.append((seq, 1, *left[list(FOUND)].iloc[0]))
-            else:
-                out.append((seq, min(len(left), 2), None, None, None, None))
-        return pd.DataFrame(out, columns=["seq", "n", *FOUND]).astype({"credit": "Int64", "txn_s": "Int64"})
-
-    return keyed.groupBy("component").applyInPandas(replay, "seq long, n int, txn_id string, credit long, txn_s long, narration string")
+    return in_turns(candidates.select("seq", *FOUND), "seq", "txn_id", ["txn_id"], _turn, DECIDED, _round, one_pass)
+
+
+def _turn(taken: set, claims: list[tuple]) -> list[tuple]:
+    left = [c for c in claims if c[1] not in taken]
+    if len(left) == 1:
+        taken.add(left[0][1])
+        return [(left[0][0], 1, *left[0][1:])]
+    return [(claims[0][0], min(len(left), 2), None, None, None, None)]
+
+
+def _round(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decide each payment that comes first at all its open credits, or at two of them."""
+    first = F.row_number().over(Window.partitionBy("txn_id").orderBy("seq")) == 1
+    turns = open_.withColumn("first", first).groupBy("seq").agg(F.count("*").alias("n"), F.count_if("first").alias("sure"), F.min_by(F.struct(*FOUND), "txn_id").alias("c"))
+    # of its open credits only those can go before its turn at which another comes first
+    ready = turns.where("sure = n OR sure >= 2")
+    now = stored(ready.select("seq", F.least("n", F.lit(2)).cast("int").alias("n"), *(F.when(F.col("n") == 1, F.col(f"c.{x}")).alias(x) for x in FOUND)), "decided")
+    rest = open_.join(now.select("seq"), "seq", "left_anti")
+    left = stored(rest.join(now.where("n = 1").select("txn_id"), "txn_id", "left_anti").select("seq", *FOUND), "claims")
+    none = rest.select("seq").distinct().join(left.select("seq"), "seq", "left_anti")
+    nothing = (F.lit(None).cast(t).alias(x) for x, t in zip(FOUND, ("string", "long", "long", "string"), strict=True))
+    return now.unionByName(none.select("seq", F.lit(0).alias("n"), *nothing)), left
 
 
 def penalty(delta: Column) -> Column:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quittance.operators import graph, matching
+from quittance.operators import graph, matching, turns
 
 HOUR, DAY = 3600, 86400
 
@@ -61,10 +61,11 @@ def replay(pay, setl, bank):
     return out
 
 
-@pytest.mark.parametrize("seed, rounds", [(0, 0), (0, 8), (1, 1), (1, 8)])
-def test_contested_credits(spark, monkeypatch, seed, rounds):
-    """Decided in rounds, in one round and then by component, and by component alone."""
-    monkeypatch.setattr(matching.resolve, "__defaults__", (rounds,))
+@pytest.mark.parametrize("seed, one_pass, share", [(0, 1 << 18, 0.05), (0, 0, 0.05), (1, 0, 0), (1, 0, 1), (1, 40, 0.01)])
+def test_contested_credits(spark, monkeypatch, seed, one_pass, share):
+    """Decided in one pass, in rounds, in one round and then by component, and in rounds until few are left."""
+    monkeypatch.setattr(turns, "ONE_PASS", one_pass)
+    monkeypatch.setattr(turns, "LEAST_SHARE", share)
     rng = random.Random(seed)
     pay, setl, bank = [], [], []
     for i in range(160):
@@ -87,16 +88,42 @@ def test_contested_credits(spark, monkeypatch, seed, rounds):
     assert sum(t is not None for _, t in got.values()) > 20
 
 
-def test_one_component_of_claims(spark):
+def by_turn(rows):
+    taken, want, of = set(), {}, {}
+    for r in rows:
+        of.setdefault(r[0], set()).add(r[1])
+    for seq in sorted(of):
+        left = of[seq] - taken
+        want[seq] = (min(len(left), 2), min(left) if len(left) == 1 else None)
+        taken |= left if len(left) == 1 else set()
+    return want
+
+
+def resolved(spark, rows, one_pass):
+    got = matching.resolve(spark.createDataFrame(rows, "seq long, txn_id string, credit long, txn_s long, narration string"), one_pass)
+    return {r.seq: (r.n, r.txn_id) for r in got.collect()}
+
+
+@pytest.mark.parametrize("one_pass", [None, 0])
+def test_one_component_of_claims(spark, one_pass):
     """A batch whose claims all hang together, with chains that many rounds long."""
     rows = [(i, f"t{j:03}", 100, 0, None) for i in range(60) for j in (i, i + 1)] + [(100 + i, f"t{j:03}", 100, 0, None) for i in range(30) for j in range(25)]
-    got = {r.seq: (r.n, r.txn_id) for r in matching.resolve(spark.createDataFrame(rows, "seq long, txn_id string, credit long, txn_s long, narration string")).collect()}
-    taken, want = set(), {}
-    for seq in sorted({r[0] for r in rows}):
-        left = sorted({r[1] for r in rows if r[0] == seq} - taken)
-        want[seq] = (min(len(left), 2), left[0] if len(left) == 1 else None)
-        taken |= {left[0]} if len(left) == 1 else set()
-    assert got == want
+    assert resolved(spark, rows, one_pass) == by_turn(rows)
+    assert resolved(spark, [], one_pass) == {}
+
+
+@pytest.mark.parametrize("one_pass", [None, 0])
+def test_long_chains_take_no_long_time(spark, one_pass):
+    """A chain of 20,000 payments, each with the credit of the one before, and a component of as many around shared credits."""
+    import time
+
+    n = 20_000
+    rows = [(0, "c0", 1, 0, None)] + [(i, f"c{j}", 1, 0, None) for i in range(1, n) for j in (i - 1, i)]
+    rng = random.Random(2)
+    rows += [(n + i, f"d{j}", 1, 0, None) for i in range(n) for j in {i // 2, rng.randrange(n // 2), 0}]
+    began = time.time()
+    assert resolved(spark, rows, one_pass) == by_turn(rows)
+    assert time.time() - began < 60
 
 
 def test_components(spark):
