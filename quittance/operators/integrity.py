@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quittance.operators.turns import streamed
+
 
 def tolerance(x: Column) -> Column:
     return F.greatest(F.lit(100), F.floor(F.abs(x) * 0.001 + 0.5).cast("long"))
@@ -48,10 +52,51 @@ def ledger(results: DataFrame, decisions: DataFrame, version: int = 1) -> DataFr
     return rows.withColumn("entry_hash", F.sha2(body, 256))
 
 
-def chain_breaks(chain: DataFrame, group: str) -> DataFrame:
-    """Rows of a chain (group, seq, prev_hash, hash) whose link to the row before is broken."""
-    w = Window.partitionBy(group).orderBy("seq")
-    before = F.lag("hash").over(w)
-    gap = F.col("seq") - F.lag("seq").over(w)
-    linked = F.coalesce(before, F.lit("GENESIS"))
-    return chain.withColumn("broken", F.col("prev_hash") != linked).withColumn("gap", F.coalesce(gap, F.lit(1)) != 1)
+GENESIS = "0" * 64
+
+
+def chain_link(previous: Column, payload: Column) -> Column:
+    return F.sha2(F.concat(previous, payload), 256)
+
+
+def chained(events: DataFrame, group: str) -> DataFrame:
+    """events (group, seq, payload) with previous_hash and hash: each link is the digest of the one before and the payload.
+
+    A chain can only be made in order: each group is streamed through a task, which holds one hash.
+    """
+
+    def link(last: list, rows: list[tuple]) -> list[tuple]:
+        out = []
+        for id_, seq, payload in rows:
+            last.append(hashlib.sha256(f"{last[0]}{payload}".encode()).hexdigest())
+            out.append((id_, seq, payload, last.pop(0), last[0]))
+        return out
+
+    kind = dict(events.dtypes)
+    rows = events.select(F.col(group).cast("string").alias("part"), F.col(group).alias("grp"), F.col("seq").cast("long"), "payload")
+    made = streamed(rows, "part", "seq", ["payload"], link, f"grp {kind[group]}, seq long, payload string, previous_hash string, hash string", lambda: [GENESIS])
+    return made.withColumnRenamed("grp", group)
+
+
+def verified_chains(chain: DataFrame, group: str) -> DataFrame:
+    """(group, n, valid, reason, seq): the first thing wrong with each chain of rows (group, seq, payload, previous_hash, hash), null if nothing is.
+
+    In order of seq: BAD_GENESIS, SEQ_GAP_OR_REORDER (numbers must run from 0 without a gap or repetition), HASH_MISMATCH (the row's own
+    digest is recomputed), LINK_BROKEN. A row meets the one before by an equi join on its number, so a long chain is dealt out, not sorted in one task.
+    """
+    each = chain.groupBy(group, "seq").agg(F.count("*").alias("times"), F.min(F.struct("previous_hash", "hash", "payload")).alias("x")).select(group, "seq", "times", "x.*")
+    before = each.select(group, (F.col("seq") + 1).alias("seq"), F.col("hash").alias("due"), F.lit(True).alias("follows"))
+    ends = chain.groupBy(group).agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    told = each.join(before, [group, "seq"], "left").join(ends, group)
+    start = F.col("seq") == F.col("first")
+    reason = (
+        F.when(start & ~F.col("previous_hash").eqNullSafe(GENESIS), F.struct(F.lit(0).alias("rank"), F.lit("BAD_GENESIS").alias("reason")))
+        .when(F.when(start, F.col("seq") != 0).otherwise(F.col("follows").isNull()), F.struct(F.lit(1).alias("rank"), F.lit("SEQ_GAP_OR_REORDER").alias("reason")))
+        .when(~F.col("hash").eqNullSafe(chain_link(F.col("previous_hash"), F.col("payload"))), F.struct(F.lit(2).alias("rank"), F.lit("HASH_MISMATCH").alias("reason")))
+        .when(~start & ~F.col("previous_hash").eqNullSafe(F.col("due")), F.struct(F.lit(3).alias("rank"), F.lit("LINK_BROKEN").alias("reason")))
+        .when(F.col("times") > 1, F.struct(F.lit(4).alias("rank"), F.lit("SEQ_GAP_OR_REORDER").alias("reason")))
+    )
+    found = told.withColumn("bad", reason)
+    first = F.min(F.when(F.col("bad").isNotNull(), F.struct("seq", "bad.rank", "bad.reason")))
+    per = found.groupBy(group).agg(F.max("n").alias("n"), first.alias("at"))
+    return per.select(group, "n", F.col("at").isNull().alias("valid"), F.col("at.reason").alias("reason"), F.col("at.seq").alias("seq"))

@@ -8,8 +8,9 @@ order, so no component is ever held as a whole: only the items it has taken are.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +25,8 @@ from quittance.sources.stored import stored
 ONE_PASS, LEAST_SHARE = 1 << 18, 0.05
 
 
-def streamed(rows: DataFrame, part: str | None, turn: str, order: list[str], decide: Callable[[set, list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
-    """Go through rows by turn, of each part or of all in one task; decide(taken, rows of a turn as tuples) yields results and adds to taken.
+def streamed(rows: DataFrame, part: str | None, turn: str, order: list[str], decide: Callable[[Any, list[tuple]], Iterable[tuple]], schema: str, start: Callable[[], Any] = set) -> DataFrame:
+    """Go through rows by turn, of each part or of all in one task; decide(taken, rows of a turn as tuples) yields results and adds to taken, which is start() for a part.
 
     order are the columns that order a turn's rows; tuples have the columns of rows without part.
     """
@@ -37,7 +38,7 @@ def streamed(rows: DataFrame, part: str | None, turn: str, order: list[str], dec
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        taken: set = set()
+        taken: Any = None
         mine: list[tuple] = []
         now = None
         for b in batches:
@@ -47,8 +48,8 @@ def streamed(rows: DataFrame, part: str | None, turn: str, order: list[str], dec
                 if mine and (p != now or row[at] != mine[0][at]):
                     found += decide(taken, mine)
                     mine = []
-                if p != now:
-                    taken, now = set(), p
+                if taken is None or p != now:
+                    taken, now = start(), p
                 mine.append(row)
             if found:
                 yield packed(found)

@@ -311,19 +311,27 @@ def sliding_rate(spark, sf_dir):
     return risk.merged_window_rate(events(spark, sf_dir), 3600).select("event_id", "user_id", "recent")
 
 
-@query("""WITH h AS (SELECT user_id, event_id, row_number() OVER w AS seq, md5(event_id || '|' || event_type) AS hash FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-l AS (SELECT *, coalesce(lag(hash) OVER (PARTITION BY user_id ORDER BY seq), 'GENESIS') AS due FROM h),
-x AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'tampered' ELSE due END AS prev_hash FROM l)
-SELECT user_id, count(*) AS n, count(*) FILTER (prev_hash <> due) AS n_broken FROM x GROUP BY 1""", results=False)
+@query("""WITH RECURSIVE h AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, event_id || '|' || event_type AS payload FROM events),
+c AS (SELECT user_id, seq, event_id, payload, repeat('0', 64) AS prev, sha256(repeat('0', 64) || payload) AS hash FROM h WHERE seq = 0
+  UNION ALL SELECT h.user_id, h.seq, h.event_id, h.payload, c.hash, sha256(c.hash || h.payload) FROM c JOIN h ON h.user_id = c.user_id AND h.seq = c.seq + 1),
+x AS (SELECT user_id, seq, CASE WHEN event_id % 797 = 0 THEN payload || '!' ELSE payload END AS payload, CASE WHEN event_id % 499 = 0 THEN 'moved' ELSE prev END AS prev,
+  CASE WHEN event_id % 499 = 0 THEN sha256('moved' || payload) ELSE hash END AS hash FROM c WHERE event_id % 397 <> 0),
+y AS (SELECT *, row_number() OVER w - 1 AS i, lag(hash) OVER w AS due FROM x WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
+z AS (SELECT *, CASE WHEN i = 0 AND prev <> repeat('0', 64) THEN 'BAD_GENESIS' WHEN seq <> i THEN 'SEQ_GAP_OR_REORDER' WHEN hash <> sha256(prev || payload) THEN 'HASH_MISMATCH' WHEN i > 0 AND prev <> due THEN 'LINK_BROKEN' END AS reason FROM y)
+SELECT user_id, count(*) AS n, count(reason) = 0 AS valid, arg_min(reason, seq) FILTER (reason IS NOT NULL) AS reason, min(seq) FILTER (reason IS NOT NULL) AS seq FROM z GROUP BY 1""", results=False)
 def audit_chain_verify(spark, sf_dir):
-    """A chain of events per user in which every 97th event has a wrong link; the check finds those."""
+    """A chain of events per user; some payloads are changed, some rows gone, some linked elsewhere: the first fault of each chain."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("event_id")
-    e = events(spark, sf_dir).select("user_id", "event_id", F.row_number().over(w).alias("seq"), F.md5(F.concat_ws("|", F.col("event_id").cast("string"), "event_type")).alias("hash"))
-    linked = e.withColumn("prev_hash", F.coalesce(F.lag("hash").over(Window.partitionBy("user_id").orderBy("seq")), F.lit("GENESIS")))
-    spoiled = linked.withColumn("prev_hash", F.when(F.col("event_id") % 97 == 0, "tampered").otherwise(F.col("prev_hash")))
-    return integrity.chain_breaks(spoiled, "user_id").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("broken").alias("n_broken"))
+    e = events(spark, sf_dir).select("user_id", (F.row_number().over(w) - 1).alias("seq"), F.concat_ws("|", F.col("event_id").cast("string"), "event_type").alias("payload"))
+    chain = integrity.chained(e, "user_id").withColumn("id", F.substring_index("payload", "|", 1).cast("long"))
+    moved = F.col("id") % 499 == 0
+    spoiled = chain.where("id % 397 <> 0").select(
+        "user_id", "seq", F.when(F.col("id") % 797 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")).alias("payload"),
+        F.when(moved, "moved").otherwise(F.col("previous_hash")).alias("previous_hash"), F.when(moved, integrity.chain_link(F.lit("moved"), F.col("payload"))).otherwise(F.col("hash")).alias("hash"),
+    )
+    return integrity.verified_chains(spoiled, "user_id")
 
 
 from quittance.plans import cardinality as _cardinality, ingest as _ingest, records as _records, review as _review  # noqa: E402, F401

@@ -165,6 +165,25 @@ def merkle_roots(spark, sf_dir):
     return windows.merkle_roots(e).withColumnRenamed("grp", "user_id")
 
 
+@query("""WITH RECURSIVE lv AS (SELECT user_id, 0 AS d, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n, sha256(CAST(event_id AS VARCHAR)) AS h FROM events
+  UNION ALL SELECT user_id, any_value(d) + 1, pos // 2, (any_value(n) + 1) // 2, sha256(arg_min(h, pos) || arg_max(h, pos)) FROM lv WHERE n > 1 GROUP BY user_id, pos // 2),
+leaf AS (SELECT user_id, pos, h FROM lv WHERE d = 0),
+step AS (SELECT leaf.user_id, leaf.pos, lv.d, CASE WHEN (leaf.pos >> lv.d) % 2 = 1 THEN 'L' || lv.h ELSE 'R' || coalesce(nx.h, lv.h) END AS s FROM leaf
+  JOIN lv own ON own.user_id = leaf.user_id AND own.n > 1 AND own.pos = leaf.pos >> own.d
+  JOIN lv ON lv.user_id = own.user_id AND lv.d = own.d AND lv.pos = own.pos - own.pos % 2
+  LEFT JOIN lv nx ON nx.user_id = own.user_id AND nx.d = own.d AND nx.pos = own.pos + 1)
+SELECT leaf.user_id, leaf.pos, count(s) AS n_steps, sha256(coalesce(string_agg(s, ',' ORDER BY d), '')) AS path, true AS holds, false AS changed_holds FROM leaf LEFT JOIN step ON step.user_id = leaf.user_id AND step.pos = leaf.pos GROUP BY 1, 2""", results=False)
+def merkle_proofs(spark, sf_dir):
+    """The proof of every event of a user: it leads to the root, and that of a changed leaf doesn't."""
+    from pyspark.sql import Window
+
+    e = events(spark, sf_dir).select(F.col("user_id").alias("grp"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long").alias("pos"), F.sha2(F.col("event_id").cast("string"), 256).alias("hash"))
+    p = windows.merkle_proofs(e)
+    path = F.sha2(F.array_join(F.transform("steps", lambda s: F.concat(F.when(s["left"], "L").otherwise("R"), s["hash"])), ","), 256)
+    holds = lambda leaf: windows.proof_holds(leaf, F.col("steps"), F.col("root"))
+    return p.select(F.col("grp").alias("user_id"), "pos", F.size("steps").cast("long").alias("n_steps"), path.alias("path"), holds(F.col("hash")).alias("holds"), holds(F.sha2("hash", 256)).alias("changed_holds"))
+
+
 @query("""WITH i AS (SELECT l_orderkey AS k, l_orderkey || '-' || l_linenumber AS id, CAST(floor(max(l_extendedprice) * 100 + 0.5) AS BIGINT) AS amount, l_linenumber AS nr FROM lineitem GROUP BY l_orderkey, l_linenumber),
 c AS (SELECT k, CAST(sum(amount) + CASE k % 4 WHEN 0 THEN 0 WHEN 1 THEN 60 WHEN 2 THEN 100 ELSE 5000 END AS BIGINT) AS credited FROM i WHERE nr % 3 <> 0 GROUP BY 1),
 t AS (SELECT i.k, id, amount, credited, row_number() OVER (PARTITION BY i.k ORDER BY abs(amount - credited), id) AS place, count(*) OVER (PARTITION BY i.k) AS n FROM i JOIN c USING (k)),
