@@ -3,13 +3,22 @@
 Each document is measured. A sketch counts the values of a measure in cells whose bounds grow by a
 factor of GAMMA (zero has its own), so any quantile is known to a relative error; counts of a language
 and source add up to those of the language and of all, and are the same however rows are dealt out.
-Fences are laid at REACH spreads beyond the quartiles, a spread being the distance of the quartile
-from the median, or LEAST of what the measure can tell apart if that is more. A group of fewer than
-MIN_GROUP documents uses its language's fences, and those of all documents if that is small too. If a
-group's median lies within its language's fences but its quartile doesn't, the group holds junk
+
+No fence is a constant; REACH says how far out in terms of the group itself a value has to lie.
+Where at least half of a group has a measure, fences lie REACH spreads beyond the quartiles, a spread
+being the distance of the quartile from the median, at least what a cell can tell apart. Where fewer have
+it, the fence is laid on those that do. The smallest share that a document of the group's median size can
+have is its unit. Usual values reach up from there; if at some point from the unit on nearly all of what
+lies above (PLATEAU of it) lies even REACH times as high, then nothing leads up to it, and the fence stands at that
+height. Else it stands above the 0.99 quantile of the positive part by its distance from their median.
+
+A group of fewer than MIN_GROUP documents uses its language's fences, and those of all documents if that
+is small too. If a group's median lies within its language's fences but its quartile doesn't, the group holds junk
 beside documents like the others, and the language's fence holds there. A document is kept if each
 measure lies within its fences. Base rules come before and are never overruled.
 
+A single repeated line or phrase and a single mark tell nothing, so shares count what is beyond the first.
+
 Null and empty text: no words, so the base rules fail it. Null lang or source is a group of its own.
 Very long texts are measured whole. Equal values fall in equal cells, so ties are judged alike.
 Repeated rows: one result each; repeats count in the sketches. An empty table gives no rows. Other
@@ -26,9 +35,12 @@ from pyspark.sql import functions as F
 from quittance.llm.common import SPACE, spaced_words, stored
 
 MIN_GROUP = 200
-GAMMA, REACH = 1.02, 8.0
-#: Measures and the least spread of each: a part of the median, and an amount that a few marks, lines or words make.
-MEASURES = {"symbol_share": (0.1, 0.01), "dup_share": (0.1, 0.05), "word_length": (0.04, 0.0), "repeat_share": (0.1, 0.04)}
+GAMMA, REACH, PLATEAU = 1.002, 12.0, 0.9
+#: Measures, and what the unit of each is a part of.
+MEASURES = {"symbol_share": "words", "dup_share": "lines", "word_length": "words", "repeat_share": "words"}
+SIZES = {"words": "n_words", "lines": "n_lines"}
+#: Cells that a factor of REACH spans; the cell of 1.
+FAR, ONE = math.floor(math.log(REACH) / math.log(GAMMA)), 20_000
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -80,28 +92,30 @@ def _repeated(windows: Column) -> Column:
 def with_measures(counts: DataFrame) -> DataFrame:
     """counts with the measures that the fences are laid on; base_failed documents have measures too."""
     n = F.greatest("n_words", F.lit(1))
+    beyond = lambda c, first: F.greatest(F.col(c) - first, F.lit(0))
     return (
-        counts.withColumn("symbol_share", F.col("n_symbols") / n)
-        .withColumn("dup_share", F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)))
+        counts.withColumn("symbol_share", beyond("n_symbols", 1) / n)
+        .withColumn("dup_share", beyond("n_dup_lines", 1) / F.greatest("n_lines", F.lit(1)))
         .withColumn("word_length", F.col("word_chars") / n)
-        .withColumn("repeat_share", F.col("n_repeat_words") / n)
+        .withColumn("repeat_share", beyond("n_repeat_words", 6) / n)  # a phrase of three words said twice
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     )
 
 
 def cell(x: Column) -> Column:
     """The cell of a value: 0 for zero, else the place of its logarithm, counted from what is less than any measure."""
-    return F.when(x > 0, F.floor(F.log(x) / math.log(GAMMA)) + 2000).otherwise(0).cast("int")
+    return F.when(x > 0, F.floor(F.log(x) / math.log(GAMMA)) + ONE).otherwise(0).cast("int")
 
 
 def value(cell: Column) -> Column:
-    return F.when(cell > 0, F.pow(F.lit(GAMMA), cell - 1999.5)).otherwise(0.0)
+    return F.when(cell > 0, F.pow(F.lit(GAMMA), cell - (ONE - 0.5))).otherwise(0.0)
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """(level, lang, source, measure, cell, n): counts per language and source, merged per language, merged over all."""
+    """(level, lang, source, measure, cell, n): counts of measures and sizes per language and source, merged per language, merged over all."""
     good = rows.where(~F.col("base_failed"))
-    both = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), cell(F.col(m)).alias("cell")) for m in MEASURES)))
+    values = {m: m for m in MEASURES} | SIZES
+    both = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), cell(F.col(c)).alias("cell")) for m, c in values.items())))
     each = good.select("lang", "source", both.alias("x")).groupBy("lang", "source", "x.measure", "x.cell").agg(F.count("*").alias("n"))
     each = stored(each.select(F.lit("source").alias("level"), "lang", "source", "measure", "cell", "n"), "quality-sketches")
     none = F.lit(None).cast("string")
@@ -112,18 +126,44 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 def fences(sketched: DataFrame) -> DataFrame:
     """(level, lang, source, n, {measure}_lo, {measure}_hi and quartiles {measure}_q1, _q2, _q3) of each group."""
-    key = ["level", "lang", "source", "measure"]
-    upto = F.sum("n").over(Window.partitionBy(*key).orderBy("cell"))
-    total = F.sum("n").over(Window.partitionBy(*key))
-    laid = sketched.withColumn("upto", upto).withColumn("total", total)
-    quartile = lambda q: value(F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("cell")))).alias(f"q{q}")
-    each = laid.groupBy(*key).agg(F.max("total").alias("n"), *map(quartile, (1, 2, 3)))
-    part, least = (F.element_at(F.create_map(*(x for m, v in MEASURES.items() for x in (F.lit(m), F.lit(v[i])))), F.col("measure")) for i in (0, 1))
-    least = F.greatest(part * F.col("q2"), least)
-    each = each.withColumn("lo", F.col("q1") - REACH * F.greatest(F.col("q2") - F.col("q1"), least))
-    each = each.withColumn("hi", F.col("q3") + REACH * F.greatest(F.col("q3") - F.col("q2"), least))
+    group, key = ["level", "lang", "source"], ["level", "lang", "source", "measure"]
+    total, upto = F.sum("n").over(Window.partitionBy(*key)), F.sum("n").over(Window.partitionBy(*key).orderBy("cell"))
+    sizes = sketched.where(F.col("measure").isin(*SIZES)).withColumn("total", total).withColumn("upto", upto)
+    median = sizes.groupBy(*key).agg(value(F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("cell")))).alias("size"))
+    parts = F.explode(F.array(*(F.struct(F.lit(m).alias("m"), F.lit(of).alias("of")) for m, of in MEASURES.items())))
+    # a cell without documents just below the unit of each group and measure
+    below = cell(1 / F.col("size")) - 1
+    start = median.select(*group, F.col("measure").alias("size_of"), "size", parts.alias("x")).where("size_of = x.of").select(*group, F.col("x.m").alias("measure"), below.alias("cell"), F.lit(0).cast("long").alias("n"), below.alias("start"))
+    cells = sketched.where(F.col("measure").isin(*MEASURES)).withColumn("start", F.lit(None).cast("int")).unionByName(start).groupBy(*key, "cell").agg(F.sum("n").alias("n"), F.max("start").alias("start"))
+    over = Window.partitionBy(*key).orderBy("cell")
+    above = lambda far: F.coalesce(F.sum("n").over(over.rangeBetween(1 + far, Window.unboundedFollowing)), F.lit(0))
+    whole = Window.partitionBy(*key)
+    laid = (
+        cells.withColumn("upto", F.sum("n").over(over))
+        .withColumn("total", F.sum("n").over(whole))
+        .withColumn("zeros", F.sum(F.when(F.col("cell") == 0, F.col("n")).otherwise(0)).over(whole))
+        .withColumn("start", F.max("start").over(whole))
+        .withColumn("above", above(0))
+        .withColumn("far", above(FAR))
+    )
+    quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("cell"))).alias(f"c{q}")
+    positive, rank = F.col("total") - F.col("zeros"), F.col("upto") - F.col("zeros")
+    of_positive = lambda part, of, name: F.min(F.when((F.col("cell") > 0) & (rank * of >= positive * part), F.col("cell"))).alias(name)
+    leads = (F.col("cell") >= F.col("start")) & (F.col("above") > 0) & (F.col("far") >= PLATEAU * F.col("above"))
+    each = laid.groupBy(*key).agg(
+        F.max("total").alias("n"), F.max(positive).alias("positive"), F.max("start").alias("start"), *map(quartile, (1, 2, 3)),
+        of_positive(1, 2, "p50"), of_positive(99, 100, "p99"), F.min(F.when(leads, F.col("cell"))).alias("plateau"),
+    )
+    q1, q2, q3, p50, p99 = (value(F.col(c)) for c in ("c1", "c2", "c3", "p50", "p99"))
+    least = q2 * (GAMMA - 1)
+    rare = F.when(F.col("plateau").isNotNull(), value(F.col("plateau") + FAR)).when(F.col("positive") > 0, 2 * p99 - p50).otherwise(value(F.col("start") + FAR))
+    sparse = F.col("c2") == 0
+    each = each.select(
+        *key, "n", q1.alias("q1"), q2.alias("q2"), q3.alias("q3"),
+        F.when(sparse, 0.0).otherwise(q1 - REACH * F.greatest(q2 - q1, least)).alias("lo"), F.when(sparse, rare).otherwise(q3 + REACH * F.greatest(q3 - q2, least)).alias("hi"),
+    )
     cols = [F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{m}_{e}") for m in MEASURES for e in ("lo", "hi", "q1", "q2", "q3")]
-    return each.groupBy("level", "lang", "source").agg(F.max("n").alias("n"), *cols)
+    return each.groupBy(*group).agg(F.max("n").alias("n"), *cols)
 
 
 def group_fences(bounds: DataFrame) -> DataFrame:
