@@ -189,7 +189,7 @@ def test_no_measure_has_the_same_fences_everywhere(spark):
     assert len(rows) >= 15
     for m in quality.MEASURES:
         assert len({r[f"{m}_hi"] for r in rows}) >= 5, m
-    assert len({r.word_length_lo for r in rows}) > len(rows) / 2
+    assert len({r.word_length_lo for r in rows}) >= 5
 
 
 def test_junk_that_differs_by_source(spark):
