@@ -27,6 +27,12 @@ def file_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+def _pieces(line: str) -> list[str]:
+    """The line cut at single spaces between characters that aren't white space."""
+    at_spaces = line.split(" ")
+    return at_spaces if at_spaces == line.split() else _SPACE.split(line)
+
+
 class Encoder:
     """ids(text) of a tokenizer file; .json through tokenizers, .model through sentencepiece."""
 
@@ -92,7 +98,7 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_piece:
             return [np.array(i, "<u4").tobytes() for i in self.encode(texts)]
-        cut = [[_SPACE.split(line) for line in _LINE.split(t)] for t in texts]
+        cut = [[_pieces(line) for line in _LINE.split(t)] for t in texts]
         if self.kept > KEPT_BYTES:
             self.old, self.pieces, self.kept = self.pieces, {}, 0
         known, old = self.pieces, self.old
