@@ -334,4 +334,4 @@ def audit_chain_verify(spark, sf_dir):
     return integrity.verified_chains(spoiled, "user_id")
 
 
-from quittance.plans import cardinality as _cardinality, ingest as _ingest, invoices as _invoices, records as _records, review as _review  # noqa: E402, F401
+from quittance.plans import cardinality as _cardinality, ingest as _ingest, invoices as _invoices, records as _records, review as _review, states as _states  # noqa: E402, F401
