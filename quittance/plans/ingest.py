@@ -51,12 +51,12 @@ def written_date():
 DATE_SQL = f"CASE WHEN k % 5 = 4 THEN TIMESTAMP '{NOW}' ELSE date_trunc('day', d)::TIMESTAMP END"
 
 
-def gateway_lines(spark, sf_dir):
-    """Some lines lack ids or a status, some hold two records with an escaped line end, and there are comments."""
+def gateway_lines(spark, sf_dir, ids=False):
+    """Some lines lack ids (all have a payment's if ids) or a status, some hold two records with an escaped line end, and there are comments."""
     b = base(spark, sf_dir)
     status = F.when(F.col("k") % 6 == 0, "").otherwise(" Captured ")
     line = F.concat_ws(
-        ",", F.when(F.col("k") % 9 == 0, "").otherwise(F.concat(F.lit(" pay_"), "k")), F.when(F.col("k") % 4 == 0, "").otherwise(F.concat(F.lit("ord_"), "k")), F.lit(""),
+        ",", F.when((F.col("k") % 9 == 0) & F.lit(not ids), "").otherwise(F.concat(F.lit(" pay_"), "k")), F.when(F.col("k") % 4 == 0, "").otherwise(F.concat(F.lit("ord_"), "k")), F.lit(""),
         written_amount(), F.lit("10.50"), F.lit("189"), F.when(F.col("k") % 3 == 0, "").otherwise(F.concat(F.lit("UTR"), "k")), written_date(), status, F.lit('"Net ""X"" bank"'),
     )
     text = F.when(F.col("k") % 10 == 3, F.concat(line, F.lit("\\n# a comment"))).when(F.col("k") % 10 == 5, F.concat(F.lit("   \\r\\n"), line)).otherwise(line)
