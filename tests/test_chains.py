@@ -105,3 +105,22 @@ def test_one_reference_on_many_rows(spark, tolerance):
     frame = lambda rows, x: spark.createDataFrame(rows, f"{x} string, utr string, amount long, window long")
     got = windows.cross_window_matches(frame(s, "settlement_id"), frame(c, "txn_id"), tolerance)
     assert {(r.txn_id, r.settlement_id, r.utr, r.difference) for r in got.collect()} == want and len(want) > 1500
+
+
+@pytest.mark.parametrize("tolerance, one_pass", [(0, None), (2, None), (0, 0), (2, 0)])
+def test_pairs_between_windows(spark, tolerance, one_pass):
+    """Few amounts, so that many pairs add up to many credits and credits want the same settlements; in one pass and in rounds."""
+    rng = random.Random(tolerance)
+    s = [(f"s{i:03d}", rng.choice([None, 10, 11, 25, 40, 41, 77, -5]), rng.choice([None, *range(8)])) for i in range(50)]
+    c = [(f"c{i:03d}", rng.choice([20, 21, 35, 50, 66, 88, 117, 118, 5, None]), rng.choice([None, *range(8)])) for i in range(40)]
+    used, want = set(), {}
+    for txn, amount, w in c:
+        left = [r for r in s if r[0] not in used and None not in r and w is not None and abs(r[2] - w) <= 2]
+        pair = next(((a, b) for i, a in enumerate(left) for b in left[i + 1 :] if amount is not None and abs(a[1] + b[1] - amount) <= tolerance), None)
+        if pair:
+            used |= {pair[0][0], pair[1][0]}
+            want[txn] = (pair[0][0], pair[1][0], pair[0][1] + pair[1][1], amount)
+    sd, cd = spark.createDataFrame(s, "settlement_id string, amount long, window long"), spark.createDataFrame(c, "txn_id string, amount long, window long")
+    got = {r.txn_id: (r.first_id, r.second_id, r.settled, r.credited) for r in windows.cross_window_pairs(sd, cd, tolerance, one_pass=one_pass).collect()}
+    assert got == want and len(want) > 8
+    assert windows.cross_window_pairs(sd.where("false"), cd).count() == 0
