@@ -23,11 +23,12 @@ def reconciled(feed: DataFrame, now) -> DataFrame:
     return matching.match(pay, setl, bank, t["refunds"], t["chargebacks"], t["orders"])
 
 
-def answer(spark: SparkSession, path: str) -> DataFrame:
-    """The stored answers (ANSWER) to all posts so far, in folders by micro-batch."""
+def answer(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The stored answers (ANSWER) to all posts so far, in folders by micro-batch; or only the folders of earlier ones."""
     if not exists(spark, f"{path}/answers"):
         return spark.createDataFrame([], ANSWER)
-    return spark.read.schema(ANSWER).parquet(f"{path}/answers").select(*(c.split()[0] for c in ANSWER.split(", ")))
+    held = spark.read.schema(f"{ANSWER}, part long").parquet(f"{path}/answers")
+    return (held if before is None else held.where(F.col("part") < before)).drop("part")
 
 
 def take_posts(rows: DataFrame, batch: int, path: str, now) -> None:
@@ -37,7 +38,7 @@ def take_posts(rows: DataFrame, batch: int, path: str, now) -> None:
     A post's results go to a folder named by its key's digest, and a repeated micro-batch writes the same folders again.
     """
     spark = rows.sparkSession
-    before = answer(spark, path).where((F.col("batch") < batch) & ~F.col("deduplicated"))
+    before = answer(spark, path, batch).where("NOT deduplicated")
     # the post's rows may be read several times
     held = new_path(spark, "posts")
     rows.write.parquet(held)
