@@ -38,3 +38,35 @@ def test_stages(spark, tmp_path, docs, bench, rows, bench_rows):
     assert abs(sum(got.values()) - 1.5 * sum(had.values())) <= len(had) * max(map(size, seen[2]))
     assert len(seen[4]) == len(seen[3])
     assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, now.collect()))
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
+
+
+def stages(spark, folder, rows, items):
+    """doc_ids after each stage."""
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+    now, out = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(folder)).write.parquet(f"{folder}/{name}")
+        now = spark.read.parquet(f"{folder}/{name}")
+        out.append([r.doc_id for r in now.select("doc_id").collect()])
+    return out
+
+
+def test_no_documents(spark, tmp_path):
+    assert stages(spark, tmp_path, [], [(1, "some words of an item")]) == [[]] * 5
+
+
+def test_no_language_is_known(spark, tmp_path):
+    rows = [(i, f"plain words number {i} and more of them", None, "s", 0) for i in range(20)]
+    assert stages(spark, tmp_path, rows, [(1, "other words")]) == [[]] * 5
+
+
+def test_no_benchmark(spark, tmp_path, rows):
+    """Nothing is contaminated by an empty benchmark; a null text doesn't get past the first stage."""
+    mine = [(*r[:4], 0) for r in rows if r[0] is not None]
+    out = stages(spark, tmp_path, mine, [])
+    assert out[0] and set(out[0]) < {r[0] for r in mine} and Counter(out[2]) == Counter(out[1]) and len(out[4]) == len(out[3])
+    assert not {r[0] for r in mine if not r[1]} & set(out[0])
