@@ -334,4 +334,4 @@ def audit_chain_verify(spark, sf_dir):
     return integrity.verified_chains(spoiled, "user_id")
 
 
-from quittance.plans import cardinality as _cardinality, claims as _claims, edges as _edges, ingest as _ingest, invoices as _invoices, records as _records, review as _review, states as _states, stores as _stores  # noqa: E402, F401
+from quittance.plans import cardinality as _cardinality, claims as _claims, edges as _edges, ingest as _ingest, invoices as _invoices, records as _records, review as _review, rollups as _rollups, states as _states, stores as _stores  # noqa: E402, F401
