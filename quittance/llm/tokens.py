@@ -92,7 +92,7 @@ class Encoder:
         """Store what is short in known; about the bytes that this takes."""
         short = {p: ids for p, ids in new.items() if len(p) <= KEPT_CHARS}
         known.update(short)
-        return sum(4 * len(p) + len(ids) + 200 for p, ids in short.items())
+        return 4 * sum(map(len, short)) + sum(map(len, short.values())) + 200 * len(short)
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -102,31 +102,29 @@ class Encoder:
         if self.kept > KEPT_BYTES:
             self.old, self.pieces, self.kept = self.pieces, {}, 0
         known, old = self.pieces, self.old
-        flat = [p for lines in cut for c in lines for p in c[1:]]  # the first piece of a line has no space before it
-        got = list(map(known.get, flat))
-        gaps = [i for i, ids in enumerate(got) if ids is None]
-        missing = {flat[i] for i in gaps}
+        starts = [[c.pop(0) for c in lines] for lines in cut]  # the first piece of a line has no space before it
+        words: set[str] = set()
+        for lines in cut:
+            words.update(*lines)
+        missing = words.difference(known)
         now = {p: old[p] for p in missing if p in old}
         if new := [p for p in missing if p not in now]:
             now.update(self._after_spaces(new))
         self.kept += self._keep(known, now)
-        for i in gaps:
-            got[i] = now[flat[i]]
+        passing = {p: ids for p, ids in now.items() if len(p) > KEPT_CHARS}
+        known.update(passing)
         if self.kept_heads > KEPT_BYTES:
             self.heads, self.kept_heads = {}, 0
-        first = {c[0] for lines in cut for c in lines} | {"\n"}
+        first = {h for line_starts in starts for h in line_starts} | {"\n"}
         heads = {h: self.heads[h] for h in first if h in self.heads}
         if new := [h for h in first if h not in heads]:
             fresh = dict(zip(new, (np.array(i, "<u4").tobytes() for i in self.encode(new)), strict=True))
             self.kept_heads += self._keep(self.heads, fresh)
             heads.update(fresh)
-        line_end, at, out = heads["\n"], 0, []
-        for lines in cut:
-            parts = []
-            for c in lines:
-                parts.append(heads[c[0]] + b"".join(got[at : at + len(c) - 1]))
-                at += len(c) - 1
-            out.append(line_end.join(parts))
+        line_end, ids_of = heads["\n"], known.__getitem__
+        out = [line_end.join([heads[h] + b"".join(map(ids_of, c)) for h, c in zip(line_starts, lines, strict=True)]) for line_starts, lines in zip(starts, cut, strict=True)]
+        for p in passing:
+            del known[p]
         return out
 
 
