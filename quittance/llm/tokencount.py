@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quittance.llm.common import new_path, shared_dir, stored
-from quittance.llm.tokens import encoder, file_digest, tokenizer_path
+from quittance.llm.tokens import encoder, file_digest, in_batches, tokenizer_path
 
 LIMIT = 1024
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
@@ -54,8 +54,7 @@ def encode_misses(docs: DataFrame, known: DataFrame | None, tokenizer: str, vers
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
+            for b in in_batches(whole):
                 n = [len(p) // 4 for p in enc.packed(b.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(n, pa.int64())], ["digest", "n_tokens"])
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quittance.llm.common import new_path, stored
-from quittance.llm.tokens import encoder, tokenizer_path
+from quittance.llm.tokens import encoder, in_batches, tokenizer_path
 
 MAGIC, BLOCK, END_ID, LEVEL = b"QPL1", 1 << 16, 0, 3
 FILE_IDS, FILE_DOCS = 1 << 26, 1 << 18
@@ -160,8 +160,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
             return pa.RecordBatch.from_pydict({"part": [part], "nth": [nth], "file": [name], "n_docs": [len(out.docs)], "n_ids": [out.n_ids]})
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                b = whole.slice(at, 128)
+            for b in in_batches(whole):
                 for doc_id, packed in zip(b.column("doc_id").to_pylist(), enc.packed([t or "" for t in b.column("text").to_pylist()]), strict=True):
                     if out is None:
                         store.create_dir(top)

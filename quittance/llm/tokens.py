@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A single space between two characters that aren't white space: byte-level pre-tokenizers always start a new
 #: token at such a space and special strings hold no space, so the pieces on both sides encode on their own.
@@ -14,6 +18,8 @@ _SPACE = re.compile(r" (?=\S)(?<=\S )")
 _LINE = re.compile(r"\n(?=\S)(?<=\S\n)")
 #: Pieces of up to so many characters are kept, up to about so many bytes in each of two generations; longer ones are encoded each time.
 KEPT_CHARS, KEPT_BYTES = 64, 96 << 20
+#: Texts are encoded in batches of up to so many, and of one or about so many bytes.
+BATCH_TEXTS, BATCH_BYTES = 512, 4 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,6 +33,17 @@ def file_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+def in_batches(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of rows with a text, as many as are encoded at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    s = 0
+    while s < whole.num_rows:
+        full = int(np.searchsorted(ends, (ends[s - 1] if s else 0) + BATCH_BYTES, side="right"))
+        e = min(s + BATCH_TEXTS, max(s + 1, full))
+        yield whole.slice(s, e - s)
+        s = e
+
+
 def _pieces(line: str) -> list[str]:
     """The line cut at single spaces between characters that aren't white space."""
     at_spaces = line.split(" ")
@@ -98,6 +115,16 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.by_piece:
             return [np.array(i, "<u4").tobytes() for i in self.encode(texts)]
+        # many lists of pieces and no cycles: the collector would go through them again and again
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._packed(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
         cut = [[_pieces(line) for line in _LINE.split(t)] for t in texts]
         if self.kept > KEPT_BYTES:
             self.old, self.pieces, self.kept = self.pieces, {}, 0

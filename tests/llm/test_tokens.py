@@ -1,7 +1,9 @@
+import gc
 import zlib
 from io import BytesIO
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -131,3 +133,20 @@ def test_query_hits_its_cache(spark, tmp_path, docs):
 
 def test_empty(no_docs):
     assert tokenio.token_output(no_docs).count() == 0 and tokencount.token_counts(no_docs).count() == 0
+
+
+def test_batches_of_texts_are_bounded_by_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "BATCH_TEXTS", 3)
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 10)
+    texts = ["a" * 11, "b" * 4, None, "c" * 6, "d", "", "e", "f", "g" * 30]
+    cut = [b.column("text").to_pylist() for b in tokens.in_batches(pa.record_batch([pa.array(texts)], ["text"]))]
+    assert cut == [texts[:1], texts[1:4], texts[4:7], texts[7:8], texts[8:]]
+    assert not list(tokens.in_batches(pa.record_batch([pa.array([], pa.string())], ["text"])))
+
+
+def test_encoding_keeps_the_collector_off(monkeypatch):
+    """No collection goes through the lists of pieces; afterwards the collector runs as before."""
+    enc, seen = tokens.Encoder(tokenizer_path(NAME)), []
+    monkeypatch.setattr(enc, "_after_spaces", lambda new, f=enc._after_spaces: [seen.append(gc.isenabled()), f(new)][1])
+    enc.packed([f"one {i} two three{i}" for i in range(50)])
+    assert seen == [False] and gc.isenabled()
