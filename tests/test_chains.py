@@ -124,3 +124,13 @@ def test_pairs_between_windows(spark, tolerance, one_pass):
     got = {r.txn_id: (r.first_id, r.second_id, r.settled, r.credited) for r in windows.cross_window_pairs(sd, cd, tolerance, one_pass=one_pass).collect()}
     assert got == want and len(want) > 8
     assert windows.cross_window_pairs(sd.where("false"), cd).count() == 0
+
+
+@pytest.mark.parametrize("one_pass", [None, 0])
+def test_pairs_of_parts(spark, one_pass):
+    """Credits of a part don't see what those of another have taken; by themselves they go in order."""
+    s = spark.createDataFrame([("s1", 10, 0), ("s2", 20, 0), ("s3", 10, 0), ("s4", 20, 1)], "settlement_id string, amount long, window long")
+    c = spark.createDataFrame([("c1", 30, 0, 7), ("c2", 30, 0, 7), ("c3", 30, 0, 8), ("c4", 30, 0, 7)], "txn_id string, amount long, window long, part long")
+    got = lambda part: sorted(tuple(r)[:3] for r in windows.cross_window_pairs(s, c, one_pass=one_pass, part=part).collect())
+    assert got(None) == [("c1", "s1", "s2"), ("c2", "s3", "s4")]
+    assert got("part") == [("c1", "s1", "s2"), ("c2", "s3", "s4"), ("c3", "s1", "s2")]
