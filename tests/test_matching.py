@@ -139,3 +139,41 @@ def test_unknown_currency_is_an_error(spark):
     assert {r.i: r.inr_minor for r in to_inr(df, "minor").collect()} == {1: 8408, 2: 0, 3: 385}
     with pytest.raises(Exception, match="unknown currency"):
         to_inr(spark.createDataFrame([(1, 1, "XXX")], "i long, minor long, currency string"), "minor").collect()
+
+
+@pytest.mark.parametrize("seed, shown", [(0, 8), (1, 3), (2, 0)])
+def test_payments_without_a_time(spark, monkeypatch, seed, shown):
+    """Many payments without a time of settlement, few or many credits of their amounts, some taken by reference or claimed by timed ones: as one after the other.
+
+    Those that find two credits whatever goes before them make no candidates, so these don't grow with payments times credits.
+    """
+    monkeypatch.setattr(matching, "SHOWN", shown)
+    made, resolve = [], matching.resolve
+    monkeypatch.setattr(matching, "resolve", lambda claims: made.append(claims.count()) or resolve(claims))
+    rng = random.Random(seed)
+    pay, setl, bank = [], [], []
+    for i in range(120):
+        amount = rng.choice([10_000, 250_000, 900_000])
+        pay.append((i, f"pay_{i:03}", f"o{i}", amount, 0, 0, "upi", "captured", i * HOUR, 0))
+        setl.append((i, f"s{i}", f"pay_{i:03}", amount, rng.choice([None, None, f"U{i}"]), rng.choice([None, None, i * HOUR]), 0))
+    for i in range(300):
+        bank.append((i, f"t{i:03}", rng.choice([None, f"U{rng.randrange(120)}"]), rng.choice([250_000, 250_500, *[10_000] * (i % 60 == 0), 900_000 + i % 7 * 4000]), "CREDIT", rng.randrange(400) * HOUR, None))
+    schemas = ("seq long, payment_id string, order_id string, amount long, fee long, tax long, method string, status string, captured_s long, class int",
+               "seq long, settlement_id string, payment_id string, amount long, utr string, settled_s long, class int", "seq long, txn_id string, utr string, amount long, type string, txn_s long, narration string")
+    rows = [[dict(zip((c.split()[0] for c in x.split(", ")), r, strict=True)) for r in t] for x, t in zip(schemas, (pay, setl, bank), strict=True)]
+    none = spark.createDataFrame([], "seq long, refund_id string, chargeback_id string, payment_id string, amount long, status string")
+    r = matching.match(*(spark.createDataFrame(t, x) for x, t in zip(schemas, (pay, setl, bank), strict=True)), none, none)
+    assert {x.payment_id: (x.status, x.bank_txn_id) for x in r.collect()} == replay(*rows)
+    # 60 or so have no time, and each of the two larger amounts a hundred credits or more
+    assert made and (shown == 3 or (made[0] > 2000) == (shown == 0)), made
+
+
+def test_tables_on_the_way_are_deleted(spark, tmp_path):
+    import os
+
+    from quittance.sources import stored
+
+    before = set(os.listdir(stored.shared_dir(spark)))
+    df = stored.once(spark, "kept", str(tmp_path), lambda: stored.stored(stored.stored(spark.range(9), "first"), "second"))
+    assert df.count() == 9
+    assert [x.rpartition("-")[0] for x in set(os.listdir(stored.shared_dir(spark))) - before] == ["kept"]
