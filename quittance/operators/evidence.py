@@ -44,17 +44,18 @@ def resolve_ids(tokens: DataFrame, known: DataFrame) -> DataFrame:
 
     In this order: equal but for case, equal as read_identifier has them (the least id, if several), one edit
     apart if only one id is. Candidates of one edit are an equi join of the texts less one character, for
-    distinct tokens that are left; null tokens are unresolved.
+    distinct tokens that are left; null tokens are unresolved. No side is broadcast: the planner takes texts less
+    one character for as small as the ids that they come from, and would collect them on the driver.
     """
     low = lambda c: F.lower(F.trim(c))
     exact = known.groupBy(F.lower("id").alias("low")).agg(F.min("id").alias("exact_id"))
     alike = known.groupBy(read_identifier(F.col("id")).alias("norm")).agg(F.min("id").alias("norm_id"))
-    asked = tokens.select("token_id", F.trim("token").alias("token"), low(F.col("token")).alias("low"), read_identifier(F.col("token")).alias("norm")).join(exact, "low", "left").join(alike, "norm", "left")
+    asked = tokens.select("token_id", F.trim("token").alias("token"), low(F.col("token")).alias("low"), read_identifier(F.col("token")).alias("norm")).join(exact.hint("merge"), "low", "left").join(alike.hint("merge"), "norm", "left")
     left = asked.where("low IS NOT NULL AND exact_id IS NULL AND norm_id IS NULL").select("low").distinct()
-    parts = left.select("low", F.explode(without_one(F.col("low"))).alias("part")).join(known.select("id", F.explode(without_one(F.lower("id"))).alias("part")), "part")
+    parts = left.select("low", F.explode(without_one(F.col("low"))).alias("part")).join(known.select("id", F.explode(without_one(F.lower("id"))).alias("part")).hint("merge"), "part")
     near = parts.select("low", "id").distinct().where(F.levenshtein("low", F.lower("id")) <= 1)
     near = near.groupBy("low").agg(F.sort_array(F.collect_list("id")).alias("near"))
-    told = asked.join(near, "low", "left")
+    told = asked.join(near.hint("merge"), "low", "left")
     one, many = F.size("near") == 1, F.size("near") > 1
     return told.select(
         "token_id",

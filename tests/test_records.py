@@ -78,3 +78,11 @@ def test_fingerprints_ignore_order_only(spark):
     of = lambda df: ledgers.fingerprint(df, ["id", "x"]).first().fingerprint
     assert of(a) == of(a.orderBy(F.desc("id")).repartition(5))
     assert len({of(a), of(a.limit(99)), of(a.unionByName(a.limit(1))), of(a.fillna(0)), of(a.limit(0))}) == 5
+
+
+def test_ids_are_not_broadcast(spark):
+    """Small tables of ids are exploded to many texts, which a broadcast would collect on the driver."""
+    ids = spark.range(2000).select("id", F.concat(F.lit("Cus-"), F.col("id").cast("string")).alias("text"))
+    found = evidence.resolve_ids(ids.select(F.col("id").alias("token_id"), F.concat("text", F.lit("x")).alias("token")), ids.select(F.col("text").alias("id")))
+    assert found.where("status <> 'UNRESOLVED_NO_MATCH'").count() == 2000
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
